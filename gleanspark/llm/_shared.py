@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes (a longer document is one step of its own).
 STEP_BYTES = 1 << 19
@@ -180,3 +181,46 @@ def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held.append(b)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def sum_arrays(counts: DataFrame, slots: int, width: int = 4096) -> np.ndarray:
+    """Sums over all rows of a column ``counts`` (int64 values of ``slots`` slots, as bytes), added up on executors slice by slice."""
+    width = min(width, slots)
+
+    def cut(batches):
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_py(), np.int64)
+        at = list(range(0, slots, width))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + width].tobytes() for i in at], pa.binary())], ["slot", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                v = np.frombuffer(v.as_py(), np.int64)
+                sums[k] = sums[k] + v if k in sums else v
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slot", "counts"])
+
+    parts = min(-(-slots // width), shuffle_partitions(counts.sparkSession))
+    out = np.zeros(slots, np.int64)
+    for r in counts.mapInArrow(cut, "slot int, counts binary").repartition(parts, "slot").mapInArrow(add, "slot int, counts binary").collect():
+        v = np.frombuffer(r["counts"], np.int64)
+        out[r["slot"] : r["slot"] + len(v)] = v
+    return out
+
+
+def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0]..last[0]-1, first[1]..last[1]-1, ... as one array of indices."""
+    n = last - first
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def share_first(wanted: int, n: int, *by: Column) -> Column:
+    """A condition that about ``wanted`` of n rows meet, those of the least hash; all do when there are no more."""
+    if n <= wanted:
+        return F.lit(True)
+    return F.xxhash64(*by) < F.lit(-(2**63) + wanted * 2**64 // n)
