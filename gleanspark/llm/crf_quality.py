@@ -21,7 +21,7 @@ for _b in range(256):
     _c = chr(_b)
     _letter = _b >= 128 or _c.isalpha()
     _CLASS[_b] = [_letter, "A" <= _c <= "Z", _c.isdigit(), _c in " \t\r\n\x0b\x0c", _c in ".,;:?'\"()-", not (_letter or _c.isdigit() or _c in " \t\r\n\x0b\x0c.,;:?'\"()-"), 0]
-FEATURES = 12
+FEATURES = 14
 
 
 def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,10 +51,18 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     words = (total[end] - total[begin]).astype(np.float32)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
+    stops = ~space
+    stops[:-1] &= space[1:] | edge[1:n]
+    w0, w1 = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    same_word = np.zeros(len(w0), np.float32)
+    mass = (total[w1] - total[w0]) * powers(n)[n - 1 - w0]
+    same_word[1:] = (mass[1:] == mass[:-1]) & (w1[1:] - w0[1:] == w1[:-1] - w0[:-1])
+    again = np.bincount(np.searchsorted(begin, w0, "right") - 1, weights=same_word, minlength=len(begin))
     length = (end - begin).astype(np.int64)
     content = length - white
     keep = content > 0
     begin, end, length, content, words = begin[keep], end[keep], length[keep], content[keep], words[keep]
+    again = again[keep] / words
     letters, upper, digits, marks, symbols = (x[keep] for x in (letters, upper, digits, marks, symbols))
     mass = (total[end] - total[begin]) * powers(n)[n - 1 - begin]
     doc = np.searchsorted(offsets, begin, "right") - 1
@@ -73,6 +81,8 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     x[:, 9] = np.minimum(content / words, 20) / 10
     x[:, 10] = np.minimum(symbols / words, 1)
     x[:, 11] = same
+    x[:, 12] = again
+    x[:, 13] = again > 0.25
     return x, length, np.bincount(doc, minlength=docs)
 
 

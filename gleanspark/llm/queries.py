@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanspark.llm.bpe import VOCABULARY, encode
 from gleanspark.llm.crf_quality import score_quality
 from gleanspark.llm.jaccard_join import jaccard_join
 from gleanspark.llm.language_id import identify
+from gleanspark.llm.metric_join import range_join
+from gleanspark.llm.packing import pack
+from gleanspark.llm.secret_scan import find_secrets
+from gleanspark.llm.suffix_dedup import repeated_passages
 from gleanspark.llm.url_filter import filter_urls
 
 
@@ -16,6 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), threshold=0.5)
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine similarity of unit vectors of about 0.9 or more."""
+    return range_join(table(spark, sf_dir, "embeddings"), radius=0.45)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), path=VOCABULARY)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), sample=4000)
 
@@ -33,11 +59,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_language_id": op4_language_id,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op7_url_filter": op7_url_filter,
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op3_suffix_array_dedup, op4_language_id, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filter, op8_secret_scan, op9_embedding_near_dedup, op10_byte_bpe,
+    )
+}
 
 _WORDS = r"regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')"
 
@@ -52,4 +78,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT a.docs, b.docs, count(*), round(count(*) / (a.n + b.n - count(*)), 6)
         FROM u a JOIN u b ON a.gram = b.gram AND a.docs < b.docs
         GROUP BY a.docs, b.docs, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9""",
+    "op3_suffix_array_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50)),
+        f AS (SELECT doc_id, s, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM p),
+        m AS (SELECT doc_id, s, false AS again FROM f WHERE n > 1 UNION ALL SELECT doc_id, s, true FROM f WHERE r > 1),
+        c AS (SELECT *, s - lag(s) OVER (PARTITION BY doc_id, again ORDER BY s) > 50 AS cut FROM m),
+        i AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, again ORDER BY s) AS island FROM c)
+        SELECT doc_id, min(s)::BIGINT AS begin, (max(s) + 50)::BIGINT AS "end", again FROM i GROUP BY doc_id, again, island""",
+    "op9_embedding_near_dedup": """
+        WITH d AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS x
+                   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+        SELECT vec_a, vec_b, round(min(x), 6) AS distance FROM d WHERE x <= 0.45 GROUP BY vec_a, vec_b""",
 }
