@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanspark.llm._shared import Scratch
+from gleanspark.llm.crf_quality import keep_good
 from gleanspark.llm.jaccard_join import one_of_each
+from gleanspark.llm.packing import pack
+from gleanspark.llm.secret_scan import redact_secrets
+from gleanspark.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality is under one half go; the labels of sf_dir train the classifier."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5, sample=4000)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +22,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs, t=0.7, n=2)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that came before are cut; documents of which nothing is left go."""
+    return remove_repeats(docs, least=50)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts give way to a mark."""
+    return redact_secrets(docs, threshold=0.5)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words: a row for each piece of a document."""
+    return pack(docs, capacity=2048)
+
+
+STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeats), ("secret_scan", secrets), ("best_fit_packing", packing)]
 
-#: The classifier and the scans have no SQL form, so there is none for the whole; the tests compare stage by stage.
+#: The classifier, the scan and the packing have no SQL form, so there is none for the whole; the tests compare stage by stage.
 ORACLE_SQL = None
 
 
