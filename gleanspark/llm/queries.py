@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanspark.llm.bpe import VOCABULARY, encode
 from gleanspark.llm.crf_quality import score_quality
+from gleanspark.llm.gif import page_frames
 from gleanspark.llm.jaccard_join import jaccard_join
 from gleanspark.llm.language_id import identify
 from gleanspark.llm.metric_join import range_join
@@ -25,6 +26,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op2_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so each page's whole text is made an animated GIF, which is decoded."""
+    return page_frames(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
@@ -61,7 +67,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op3_suffix_array_dedup, op4_language_id, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filter, op8_secret_scan, op9_embedding_near_dedup, op10_byte_bpe,
+        op1_best_fit_packing, op2_gif_frames, op3_suffix_array_dedup, op4_language_id, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filter, op8_secret_scan, op9_embedding_near_dedup, op10_byte_bpe,
     )
 }
 
