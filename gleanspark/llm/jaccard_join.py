@@ -6,9 +6,9 @@ first n - ceil(t n) + 1 of each (n: the set's size), their prefixes. So:
 
 1. one pass counts grams in a fixed number of buckets over all documents (the order's rarity classes);
 2. documents with the same prefix and size collapse into one group;
-3. groups' prefixes go to partitions by gram; groups that meet at a gram, pass the length filter and weren't
-   seen at an earlier gram are a candidate pair. (Pairs that share one of their first HEAD grams are taken at
-   such a gram alone, the others wherever they meet: heads travel with the postings for this test.)
+3. groups' prefixes go to partitions by gram; for groups that meet and pass the length filter the shared grams of their
+   prefixes are counted. What a set has beyond its prefix is known, so the count bounds the overlap; a pair whose bound is
+   too low goes.
 4. pairs expand to members; equal sets are one node. Nodes with the same smallest partner form blocks, and
    each pair of blocks with a candidate is one cell, to which the nodes' whole sets are sent once;
 5. a cell verifies all its pairs by exact overlaps.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, key_runs, mix, shuffle_partitions, signed, steps, word_hashes
 
 BUCKETS = 1 << 18
-HEAD = 3
+#: Documents to verify that may be broadcast (some 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Nodes of a block: two blocks' sets and their overlaps are what a task holds at once.
 BLOCK = 1024
 
@@ -117,7 +118,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, t: float, rarit
 
 
 def _postings(sig: DataFrame, parts: int) -> DataFrame:
-    """Postings of a batch for each partition, as one row: distinct groups with size, head and number of grams, then these grams by group."""
+    """Postings of a batch for each partition, as one row: distinct groups with size and number of grams, then these grams by group."""
 
     def run(batches):
         for b in batches:
@@ -127,9 +128,6 @@ def _postings(sig: DataFrame, parts: int) -> DataFrame:
             raw, offsets = bytes_of(b.column(4))
             keys, offsets = np.ascontiguousarray(raw).view(np.uint64), offsets // 8
             doc = np.repeat(np.arange(b.num_rows, dtype=np.int32), np.diff(offsets))
-            head = np.zeros((b.num_rows, HEAD), np.uint32)
-            for j in range(HEAD):
-                head[:, j] = keys[np.minimum(offsets[:-1] + j, offsets[1:] - 1)].astype(np.uint32)
             to = (mix(keys) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(parts + 1))
@@ -137,25 +135,25 @@ def _postings(sig: DataFrame, parts: int) -> DataFrame:
                 own = order[cuts[p] : cuts[p + 1]]
                 used, many = np.unique(doc[own], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (b.column(1).to_numpy()[used], b.column(3).to_numpy()[used].astype(np.int32), head[used], keys[own], many.astype(np.int32))],
-                    ["part", "grp", "size", "head", "gram", "many"],
+                    [pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (b.column(1).to_numpy()[used], b.column(3).to_numpy()[used].astype(np.int32), keys[own], many.astype(np.int32))],
+                    ["part", "grp", "size", "gram", "many"],
                 )
 
-    return sig.mapInArrow(run, "part int, grp binary, size binary, head binary, gram binary, many binary")
+    return sig.mapInArrow(run, "part int, grp binary, size binary, gram binary, many binary")
 
 
-def _pairs_of_lists(gram, grp, size, head, t: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of groups that meet at a gram."""
+def _pairs_of_lists(gram, grp, size, t: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of groups that meet at grams and pass the length filter, with their sizes and how often they met."""
     order = np.lexsort((grp, gram))
-    gram, grp, at = gram[order], grp[order], order
+    gram, grp, size = gram[order], grp[order], size[order]
     keep = np.ones(len(gram), bool)
     keep[1:] = (gram[1:] != gram[:-1]) | (grp[1:] != grp[:-1])
-    gram, grp, at = gram[keep], grp[keep], at[keep]
-    size, head = size[at], head[at]
+    gram, grp, size = gram[keep], grp[keep], size[keep]
+    names, number = np.unique(grp, return_inverse=True)
+    of = np.zeros(len(names), size.dtype)
+    of[number] = size
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(gram)))
-    here = gram.astype(np.uint32)[:, None]
-    inhead = (head == here).any(axis=1)
     # each posting with the later ones of its list
     later = np.repeat(lengths, lengths) - 1 - (np.arange(len(gram)) - np.repeat(starts, lengths))
     rows = np.flatnonzero(later)
@@ -167,16 +165,10 @@ def _pairs_of_lists(gram, grp, size, head, t: float, most: int = 1 << 20) -> Ite
         i = np.repeat(r, later[r])
         ends = np.cumsum(later[r])
         j = i + 1 + np.arange(len(i)) - np.repeat(ends - later[r], later[r])
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = small >= t * large - 1e-9
-        i, j = i[ok], j[ok]
-        both = inhead[i] & inhead[j]
-        meet = np.zeros(len(i), bool)
-        for a in range(HEAD):
-            for b in range(HEAD):
-                meet |= head[i, a] == head[j, b]
-        ok = both | ~meet
-        yield grp[i[ok]], grp[j[ok]]
+        ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+        key, count = np.unique(number[i[ok]] * len(names) + number[j[ok]], return_counts=True)
+        a, b = key // len(names), key % len(names)
+        yield names[a], names[b], of[a], of[b], count
         lo = hi
 
 
@@ -187,21 +179,21 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
             for r in b.to_pylist():
                 parts.setdefault(r["part"], []).append(r)
         for rows in parts.values():
-            cols = ([], [], [], [])
+            cols = ([], [], [])
             for r in rows:
                 grp = np.frombuffer(r["grp"], np.int64)
                 cols[0].append(np.frombuffer(r["gram"], np.uint64))
                 at = np.repeat(np.arange(len(grp)), np.frombuffer(r["many"], np.int32))
                 cols[1].append(grp[at])
                 cols[2].append(np.frombuffer(r["size"], np.int32)[at])
-                cols[3].append(np.frombuffer(r["head"], np.uint32).reshape(-1, HEAD)[at])
-            for a, b in _pairs_of_lists(*(np.concatenate(c) for c in cols), t):
+            for a, b, na, nb, n in _pairs_of_lists(*(np.concatenate(c) for c in cols), t):
                 if len(a):
-                    both = np.unique(np.stack([a, b], axis=1).view("i8,i8"))
-                    both = both.view(np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["ga", "gb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(n.astype(np.int32))], ["ga", "gb", "na", "nb", "met"])
 
-    return postings.mapInArrow(run, "ga long, gb long")
+    met = postings.mapInArrow(run, "ga long, gb long, na int, nb int, met int").groupBy("ga", "gb", "na", "nb").agg(F.sum("met").alias("met"))
+    # beyond its prefix a set of n has ceil(t n) - 1 grams
+    beyond = F.ceil(F.lit(t) * F.greatest("na", "nb") - 1e-9) - 1
+    return met.where((F.col("met") + beyond) * (1 + t) >= F.lit(t) * (F.col("na") + F.col("nb")) - 1e-6).select("ga", "gb")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
@@ -282,7 +274,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     sig = scratch.save(_signatures(docs, doc_id, text, n, t, rarity))
     node = F.xxhash64("grp", "whole")
     nodes = scratch.save(sig.groupBy("grp", "whole", "size").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_set("doc")).alias("docs")).withColumn("node", node))
-    found = _candidates(_postings(sig, parts).repartitionById(parts, F.col("part")), t).distinct()
+    found = _candidates(_postings(sig, parts).repartitionById(parts, F.col("part")), t)
     same = nodes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     small = nodes.select("grp", "node", "size", "doc")
     pairs = (
@@ -333,7 +325,9 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
         return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(block_, pa.int64()), pa.array(node_, pa.int64()), binary_rows(np.concatenate(grams), np.array(lengths))], ["cell", "block", "node", "grams"])
 
     whole = nodes.select("node", "whole")
-    wanted = routes.join(whole, "node").select("doc", "node", "block", "cells", "whole")
+    wanted = scratch.save(routes.join(whole, "node").select("doc", "node", "block", "cells", "whole"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     routed = texts.join(wanted, "doc").select("text", "node", "block", "cells", "whole").mapInArrow(sets, "cell long, block long, node long, grams binary")
     similar = scratch.save(_verify(routed.repartition(parts, "cell").sortWithinPartitions("cell"), t))
     scratch.drop(pairs, label)
