@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeats), ("secret_scan", secrets), ("best_fit_packing", packing)]
 
-#: The classifier, the scan and the packing have no SQL form, so there is none for the whole; the tests compare stage by stage.
+#: The classifier, the scan and the packing have no SQL form, so there is none for the whole; the stages' operators are tested in tests/llm.
 ORACLE_SQL = None
 
 
