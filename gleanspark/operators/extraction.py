@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,16 +87,20 @@ def exact_grounding(span: Column, text: Column) -> Column:
     return F.when(s.rlike(r"\p{L}"), F.contains(F.lower(T.canon_text(text)), s)).otherwise(False)
 
 
+def windows(own: list[str], words: list[str], most: int = 40) -> list[list[str]]:
+    """The windows of a text that are tried for a span: around its longest word, or else all along."""
+    anchor, width = max(own, key=len), len(own)
+    places = [i for i, w in enumerate(words) if w == anchor] or list(range(0, len(words), width))
+    return [words[max(0, i - width) : i + width] for i in places[:most]]
+
+
 def best_window(span: str, words: list[str], most: int = 40) -> tuple[float, list[str]]:
     """(coverage of the span, words) of the text's best window, tried around the span's longest word."""
     own = span.split()
     if not own or not words:
         return 0.0, []
-    anchor, width = max(own, key=len), len(own)
-    places = [i for i, w in enumerate(words) if w == anchor] or list(range(0, len(words), width))
     best, found = 0.0, []
-    for i in places[:most]:
-        part = words[max(0, i - width) : i + width]
+    for part in windows(own, words, most):
         blocks = difflib.SequenceMatcher(None, span, " ".join(part), autojunk=False).get_matching_blocks()
         score = sum(b.size for b in blocks) / len(span)
         if score > best:
@@ -135,6 +141,106 @@ def grounded(span: Column, text: Column, least: float = 0.85) -> Column:
     return exact | check(F.when(missed, span), F.when(missed, text))
 
 
+class SpanSearch:
+    """Which of many spans may rest on a text, by conditions that ``fuzzy`` can't do without, so that none it accepts is missed.
+
+    A window has to hold a word near to (``least`` of) the span's words, where a word's ratio is at most that of the longest common
+    subsequence; and the common subsequence of span and window has to cover ``least`` of the span.
+    """
+
+    BLOCK, REMEMBERED = 16, 100_000
+
+    def __init__(self, spans: list[str | None], least: float = 0.85):
+        self.least = least
+        self.spans = [re.sub(r"\s+", " ", s or "").strip().lower() for s in spans]
+        words = [s.split() if any(c.isalpha() for c in s) else [] for s in self.spans]
+        number: dict[str, int] = {}
+        self.own = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words]
+        self.length = np.array([len(w) for w in number], np.int64)
+        self.long = self.length > 64
+        self.full = np.array([(1 << min(len(w), 64)) - 1 for w in number], np.uint64)
+        self.masks: dict[str, np.ndarray] = {}
+        for w, k in number.items():
+            for i, c in enumerate(w[:64]):
+                self.masks.setdefault(c, np.zeros(len(number), np.uint64))[k] |= np.uint64(1 << i)
+        self.rows: dict[str, np.ndarray] = {}
+        self.live = [i for i, own in enumerate(self.own) if len(own)]
+
+    def near(self, x: str) -> np.ndarray:
+        """By word of the spans, whether x may be near it (packed bits)."""
+        row = self.rows.get(x)
+        if row is None:
+            if len(self.rows) >= self.REMEMBERED:
+                self.rows.clear()
+            v = np.full(len(self.length), 2**64 - 1, np.uint64)
+            for c in x:
+                m = self.masks.get(c)
+                if m is not None:
+                    u = v & m
+                    v = (v + u) | (v - u)
+            common = self.length - np.bitwise_count(v & self.full)
+            row = self.rows[x] = np.packbits(self.long | (2 * common >= 0.7 * (self.length + len(x)) - 1e-9))
+        return row
+
+    def covered(self, i: int, words: list[str]) -> bool:
+        """Whether a window that ``best_window`` tries has a long enough common subsequence with span i."""
+        span = self.spans[i]
+        full, masks = (1 << len(span)) - 1, {}
+        for k, c in enumerate(span):
+            masks[c] = masks.get(c, 0) | 1 << k
+        for part in windows(span.split(), words):
+            v = full
+            for c in " ".join(part):
+                m = masks.get(c)
+                if m:
+                    u = v & m
+                    v = ((v + u) | (v - u)) & full
+            if len(span) - v.bit_count() >= self.least * len(span) - 1e-9:
+                return True
+        return False
+
+    def of(self, text: str | None) -> list[int]:
+        """Numbers of the spans that may be grounded in a text."""
+        text = re.sub(r"\s+", " ", text or "").strip().lower()
+        words = text.split()
+        if not words or not self.live:
+            return []
+        found = {i for i in self.live if self.spans[i] in text}
+        rows = np.array([self.near(w) for w in words])
+        blocks = np.unpackbits(np.bitwise_or.reduceat(rows, np.arange(0, len(words), self.BLOCK)), axis=1, count=len(self.length))
+        whole = blocks.any(axis=0)
+        total = np.append(np.zeros((1, blocks.shape[1]), np.int32), np.cumsum(blocks, axis=0, dtype=np.int32), axis=0)
+        for i in self.live:
+            own = self.own[i]
+            enough = self.least * len(own) - 1e-9
+            if i in found or whole[own].sum() < enough:
+                continue
+            # 2 k words in a row lie in so many blocks
+            n = min(len(blocks), (2 * len(own) - 2) // self.BLOCK + 2)
+            t = total[:, own]
+            if (t[n:] - t[:-n] > 0).sum(axis=1).max() >= enough and self.covered(i, words):
+                found.add(i)
+        return sorted(found)
+
+
+def possible_spans(text: Column, shared, least: float = 0.85) -> Column:
+    """The numbers of the spans that ``grounded`` may accept. shared: a broadcast list of spans."""
+    name = uuid.uuid4().hex
+
+    @arrow_udf("array<int>")
+    def search(column: pa.Array) -> pa.Array:
+        if name not in _searches:
+            _searches.clear()
+            _searches[name] = SpanSearch(shared.value, least)
+        return pa.array([_searches[name].of(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+
+    return search(text)
+
+
+#: The search of the last set of spans that a worker had.
+_searches: dict = {}
+
+
 def annotate(records: DataFrame, template: Template, text: str = "text", exact_only: bool = False) -> DataFrame:
     """The flags _grounded, _value_grounded, _unit_grounded and the list _ungrounded; drops the text."""
     span = F.col("source_span")

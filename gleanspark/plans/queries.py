@@ -296,7 +296,16 @@ def salvage_truncated_json(spark, d):
 
 @query()
 def fuzzy_ground_benchmark(spark, d):
-    """Benchmark passages with a damaged word, against the documents that hold their opening."""
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"(\w)(\w)(\w+)", "$1$3").alias("damaged"), F.substring("text", 1, 60).alias("opening"), F.col("text").alias("span"))
-    pairs = table(spark, d, "documents").select("doc_id", "text").join(b, F.contains("text", F.col("opening")))
-    return pairs.select("item_id", "doc_id", X.grounded(F.col("span"), F.col("text")).alias("grounded"), X.grounded(F.col("damaged"), F.col("text")).alias("damaged_grounded"))
+    """Benchmark passages, and these with damaged words, against all documents: the pairs in which one of the two is grounded."""
+    return _fuzzy_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def _fuzzy_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    b = benchmark.select("item_id", F.col("text").alias("span"), F.regexp_replace("text", r"(\w)(\w)(\w+)", "$1$3").alias("damaged"))
+    items = b.collect()
+    spans = docs.sparkSession.sparkContext.broadcast([s for r in items for s in (r["span"], r["damaged"])])
+    numbered = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(items)], b.select(F.lit(0).alias("at"), "*").schema)
+    at = F.array_distinct(F.transform(X.possible_spans(F.col("text"), spans), lambda i: F.floor(i / 2).cast("int")))
+    pairs = docs.select("doc_id", "text", F.explode(at).alias("at")).join(F.broadcast(numbered), "at")
+    flagged = pairs.select("item_id", "doc_id", X.grounded(F.col("span"), F.col("text")).alias("grounded"), X.grounded(F.col("damaged"), F.col("text")).alias("damaged_grounded"))
+    return flagged.where("grounded or damaged_grounded")

@@ -60,3 +60,26 @@ def test_templates():
 def test_wilson(spark):
     assert tuple(one(spark, text.wilson_interval(F.lit(0.0), F.lit(0.0)))) == (0.0, 0.0)
     assert tuple(one(spark, text.wilson_interval(F.lit(8.0), F.lit(10.0)))) == (0.4902, 0.9433)
+
+
+def test_fuzzy_pairs_against_brute_force(spark):
+    import random
+
+    from gleanspark.plans.queries import _fuzzy_pairs
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeiklmnorstu") for _ in range(r.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 25))).capitalize()) for i in range(8)] + [(8, None), (9, "12 34"), (10, "Short one")]
+    around = lambda n: " ".join(word() for _ in range(n))
+    docs = [(0, None), (1, ""), (2, around(300)), (3, "a short one."), (3, "nothing here")]
+    for i, t in items[:8]:
+        w = t.split()
+        for k, s in enumerate((t, t.lower(), t.replace(" ", "\n  "), " ".join(["Zzz", *w[1:]]), " ".join([w[0][:1] + w[0][2:], *w[1:]]), " ".join(x[:-1] + "q" if len(x) > 3 else x for x in w), " ".join(w[len(w) // 2 :]))):
+            docs.append((10 * (i + 1) + k, f"{around(r.randint(0, 90))} {s} {around(r.randint(0, 90))}"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    every = d.crossJoin(b.select("item_id", F.col("text").alias("span"), F.regexp_replace("text", r"(\w)(\w)(\w+)", "$1$3").alias("damaged")))
+    flags = every.select("item_id", "doc_id", extraction.grounded(F.col("span"), F.col("text")).alias("g"), extraction.grounded(F.col("damaged"), F.col("text")).alias("h"))
+    want = sorted(map(tuple, flags.where("g or h").collect()))
+    assert sorted(map(tuple, _fuzzy_pairs(d, b).collect())) == want
+    assert {(i, 10 * (i + 1) + k) for i in range(8) for k in (1, 2)} <= {(i, n) for i, n, g, _ in want if g} and len(want) > 30
+    assert _fuzzy_pairs(d, b.limit(0)).count() == 0
