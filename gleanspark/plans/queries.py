@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
@@ -110,11 +111,24 @@ def ground_benchmark_in_documents(spark, d):
     SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id
     WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= 0.5 * len(list_distinct(list_concat(a.s, b.s)))""")
 def token_jaccard_neighbours(spark, d):
-    """Token sets of openings, as in a record's title, compared within a source; shared tokens make the pairs."""
-    t = table(spark, d, "documents").select("doc_id", "source", T.token_set(F.substring("text", 1, 200)).alias("s")).where("size(s) > 0")
-    e = t.select("doc_id", "source", F.size("s").alias("n"), F.explode("s").alias("token"))
-    a, b = e.select("source", "token", F.col("doc_id").alias("a"), F.col("n").alias("na")), e.select("source", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    both = a.join(b, ["source", "token"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    """Token sets of whole texts, compared within a source."""
+    return _token_neighbours(table(spark, d, "documents"))
+
+
+def _token_neighbours(docs: DataFrame) -> DataFrame:
+    """Pairs of similarity 0.5 or more share a token among the rarest n // 2 + 1 of each; what these share, and where, bounds the overlap."""
+    sets = docs.select("doc_id", "source", T.token_set(F.col("text")).alias("s")).where("size(s) > 0")
+    e = sets.select("doc_id", "source", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = e.groupBy("source", "token").agg(F.count("*").alias("often")).where("often > 1")
+    # a token that no other document has comes first and pairs nothing
+    ranked = e.join(often, ["source", "token"], "left").withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "source").orderBy(F.coalesce("often", F.lit(1)), "token")))
+    p = ranked.where("rank <= n div 2 + 1 and often is not null")
+    a, b = (p.select("source", "token", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("rank").alias(f"r{k}")) for k in "ab")
+    met = a.join(b, ["source", "token"]).where("a < b and 2 * least(na, nb) >= greatest(na, nb)").groupBy("source", "a", "b", "na", "nb").agg(F.count("*").alias("met"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
+    most = F.least(1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")), F.col("met") + F.ceil(F.greatest("na", "nb") / 2) - 1)
+    likely = met.where(3 * most >= F.col("na") + F.col("nb")).select("source", "a", "b", "na", "nb")
+    x, y = (sets.select("source", F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    both = likely.join(x, ["source", "a"]).join(y, ["source", "b"]).withColumn("k", F.size(F.array_intersect("sa", "sb")))
     return both.where("k >= 0.5 * (na + nb - k)").select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity"))
 
 

@@ -83,3 +83,21 @@ def test_fuzzy_pairs_against_brute_force(spark):
     assert sorted(map(tuple, _fuzzy_pairs(d, b).collect())) == want
     assert {(i, 10 * (i + 1) + k) for i in range(8) for k in (1, 2)} <= {(i, n) for i, n, g, _ in want if g} and len(want) > 30
     assert _fuzzy_pairs(d, b.limit(0)).count() == 0
+
+
+def test_token_neighbours_against_brute_force(spark):
+    import random
+
+    from gleanspark.plans.queries import _token_neighbours
+
+    r = random.Random(3)
+    many = lambda n, of=400: [f"t{r.randint(0, of)}" for _ in range(n)]
+    same, docs = many(80), [(0, "s", None), (1, "s", ""), (2, "s", "one"), (3, "s", "one"), (4, "t", "one"), (5, None, "one")]
+    for i in range(10, 40):
+        tail = many(r.randint(20, 120), 60 if i % 3 else 400)
+        docs.append((i, "st"[i % 2], " ".join([*many(60), *same, *tail] if i % 4 == 0 else [*same[:60], *tail] if i % 4 == 1 else tail)))
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    sets = {i: (s, set(t.split())) for i, s, t in docs if t and s}
+    sets = {i: (s, {p for t in v for p in ((t[0], t[1:]) if t[1:].isdigit() else (t,))}) for i, (s, v) in sets.items()}
+    want = [(i, j, round(len(x & y) / len(x | y), 6)) for i, (s, x) in sets.items() for j, (u, y) in sets.items() if i < j and s == u and 2 * len(x & y) >= len(x | y)]
+    assert sorted(map(tuple, _token_neighbours(df).collect())) == sorted(want) and len(want) > 5
