@@ -92,7 +92,7 @@ def rarity_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, t: float, rarity) -> DataFrame:
-    """By document with words: group key, hash and size of its set, prefix."""
+    """By document with words: group key, hash and size of its set, prefix, hash of the text."""
 
     def run(batches):
         for b in batches:
@@ -110,11 +110,11 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, t: float, rarit
                         lengths.append(lengths[-1] + len(p))
             if at:
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at)), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32()), binary_rows(np.concatenate(prefix), np.array(lengths))],
-                    ["doc", "grp", "whole", "size", "prefix"],
+                    [b.column(0).take(pa.array(at)), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32()), binary_rows(np.concatenate(prefix), np.array(lengths)), b.column(2).take(pa.array(at))],
+                    ["doc", "grp", "whole", "size", "prefix", "th"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null").mapInArrow(run, "doc long, grp long, whole long, size int, prefix binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where("doc is not null").mapInArrow(run, "doc long, grp long, whole long, size int, prefix binary, th long")
 
 
 def _postings(sig: DataFrame, parts: int) -> DataFrame:
@@ -262,9 +262,9 @@ def _verify(routed: DataFrame, t: float) -> DataFrame:
     return routed.mapInArrow(run, "a long, b long, overlap long, na long, nb long")
 
 
-def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text", members: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, pairs): nodes(node, size, docs: sorted ids of documents with this very set) and pairs(a, b, overlap, na, nb) of
-    nodes with Jaccard similarity t or more."""
+    nodes with Jaccard similarity t or more. With members, nodes have members too: (doc, th), id and hash of the text."""
     if not 0 < t <= 1 or n < 1:
         raise ValueError("0 < t <= 1 and n >= 1")
     spark = docs.sparkSession
@@ -273,7 +273,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     rarity = spark.sparkContext.broadcast(rarity_classes(docs, text, n))
     sig = scratch.save(_signatures(docs, doc_id, text, n, t, rarity))
     node = F.xxhash64("grp", "whole")
-    nodes = scratch.save(sig.groupBy("grp", "whole", "size").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_set("doc")).alias("docs")).withColumn("node", node))
+    nodes = scratch.save(sig.groupBy("grp", "whole", "size").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_set("doc")).alias("docs"), *[F.collect_set(F.struct("doc", "th")).alias("members")] * members).withColumn("node", node))
     found = _candidates(_postings(sig, parts).repartitionById(parts, F.col("part")), t)
     same = nodes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     small = nodes.select("grp", "node", "size", "doc")
@@ -331,7 +331,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     routed = texts.join(wanted, "doc").select("text", "node", "block", "cells", "whole").mapInArrow(sets, "cell long, block long, node long, grams binary")
     similar = scratch.save(_verify(routed.repartition(parts, "cell").sortWithinPartitions("cell"), t))
     scratch.drop(pairs, label)
-    return nodes.select("node", "size", "docs"), similar
+    return nodes.select("node", "size", "docs", *["members"] * members), similar
 
 
 def jaccard_join(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,16 +380,17 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of similar ones: that of the smallest id in the connected component.
 
+    An id that has different texts is a document for each; of these the one of the least hash counts as the smallest.
     Rows without an id or without words stay. Of repeated rows (same id and text) that have words one stays.
     """
-    nodes, pairs = similar_nodes(docs, t, n, doc_id, text)
+    nodes, pairs = similar_nodes(docs, t, n, doc_id, text, members=True)
     scratch = Scratch(docs.sparkSession, "one-of-each")
     roots = components(nodes, pairs)
-    member = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.explode("docs").alias("doc"))
+    member = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.explode("members").alias("doc"))
     least = member.groupBy("root").agg(F.min("doc").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    lost = scratch.save(member.join(least, "root").where("doc != keep").select(F.col("doc").alias("lost_doc")).distinct())
+    lost = scratch.save(member.join(least, "root").where("doc != keep").select(F.col("doc.doc").alias("lost_doc"), F.col("doc.th").alias("lost_th")).distinct())
     key = F.col(doc_id).cast("long")
-    kept = docs.join(lost, key == lost["lost_doc"], "left_anti")
+    kept = docs.join(lost, (key == lost["lost_doc"]) & (F.xxhash64(text) == lost["lost_th"]), "left_anti")
     twice = docs.groupBy(key.alias("twice_doc")).agg(F.count("*").alias("n")).where("n > 1 and twice_doc is not null").select("twice_doc")
     twice = scratch.save(twice)
     if twice.isEmpty():

@@ -130,3 +130,12 @@ def test_secrets(docs, none):
 def test_urls(spark):
     df = spark.createDataFrame([(1, "http://free-bets.example.com/x"), (2, None), (3, ""), (4, "https://gardening.example.org/en/1")], "page_id long, url string")
     assert {r.page_id: r.blocked for r in url_filter.filter_urls(df).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_one_of_each_with_several_texts_of_an_id(spark):
+    a, b = LONG, " ".join(f"u{i}" for i in range(200))
+    data = [(1, a), (5, a), (5, b), (5, None), (5, ""), (6, b + " end"), (7, "x y z"), (7, "x  y z"), (8, "p q"), (8, "p q")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+    kept = rows(got)
+    assert [r for r in kept if r[0] != 7] == sorted([(1, a), (5, b), (5, None), (5, ""), (8, "p q")], key=repr)
+    assert sum(r[0] == 7 for r in kept) == 1
