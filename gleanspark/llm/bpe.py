@@ -18,12 +18,13 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import bytes_of, mix, powers, spans, steps
+from gleanspark.llm._shared import binary_rows, bytes_of, mix, powers, spans, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,11 +158,12 @@ class Bpe:
             i -= int(self.length[t])
         return out[::-1]
 
-    def piece(self, s: bytes) -> tuple[int, ...]:
+    def piece(self, s: bytes) -> tuple[tuple[int, ...], bytes]:
+        """(tokens, table of last tokens) of a piece."""
         found = self.pieces.get(s)
         if found is None:
-            t = self.rank.get(s)
-            found = self.pieces.put(s, (t,) if t is not None and self.whole(t) else tuple(self._ending(self.last_tokens(s))))
+            last = self.last_tokens(s)
+            found = self.pieces.put(s, (tuple(self._ending(last)), np.array(last, np.int32).tobytes()))
         return found
 
     def _ending(self, last: list[int]) -> list[int]:
@@ -172,22 +174,24 @@ class Bpe:
             i -= len(data[t])
         return out[::-1]
 
-    def chunk(self, s: bytes) -> tuple[int, ...]:
+    def chunk(self, s: bytes) -> tuple[tuple[int, ...], bytes]:
+        """(tokens, table of last tokens) of a chunk."""
         found = self.chunks.get(s)
         if found is None:
             text = s.decode()
             if text[1:].isalpha() and text[0] == " " or text.isalpha():
                 found = self.piece(s)
             else:
-                found = tuple(chain.from_iterable([self.piece(p.encode()) for p in self.split.findall(text)]))
+                parts = [self.piece(p.encode()) for p in self.split.findall(text)]
+                found = tuple(chain.from_iterable(t for t, _ in parts)), b"".join(x for _, x in parts)
             self.chunks.put(s, found)
         return found
 
-    def encode_step(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of all documents of a step, their offsets by document)."""
+    def encode_step(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of all documents of a step, their offsets by document, last token of every byte prefix)."""
         n = len(raw)
         if n == 0:
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int32)
         space = white_space(raw)
         first = space.copy()
         first[1:] &= ~space[:-1]
@@ -201,12 +205,16 @@ class Bpe:
         data = raw.tobytes()
         get, chunk = self.chunks.new.get, self.chunk
         lists = [get(c) or chunk(c) for c in [data[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist())]]
-        many = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(many.sum()))
+        many = np.fromiter((len(t) for t, _ in lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(t for t, _ in lists), np.int32, int(many.sum()))
         ends = np.cumsum(many)
         tokens = flat[spans((ends - many)[inverse], ends[inverse])]
         upto = np.append(0, np.cumsum(many[inverse]))
-        return tokens, upto[np.searchsorted(begin, offsets)]
+        # a chunk has an entry for each of its bytes, so documents' tables lie where their bytes do
+        tables = np.frombuffer(b"".join(x for _, x in lists), np.int32)
+        size = (end - begin)[at]
+        ends = np.cumsum(size)
+        return tokens, upto[np.searchsorted(begin, offsets)], tables[spans((ends - size)[inverse], ends[inverse])]
 
     def decode_flat(self, tokens: np.ndarray) -> np.ndarray:
         """The bytes of tokens, one after the other."""
@@ -273,29 +281,37 @@ def _list_of_int32(values: np.ndarray, offsets: np.ndarray, mask: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(mask) if mask.any() else None)
 
 
+def _encoded(bpe: Bpe, column: pa.Array) -> pa.StructArray:
+    tokens, ends, exact, last = [], [np.zeros(1, np.int64)], [], [pa.array([], pa.binary())]
+    done = 0
+    for _, _, raw, offsets in steps(column, STEP):
+        t, o, table = bpe.encode_step(raw, offsets)
+        last.append(binary_rows(table, offsets))
+        tokens.append(t)
+        ends.append(o[1:] + done)
+        done += len(t)
+        back = bpe.decode_flat(t)
+        size = np.append(0, np.cumsum(bpe.length[t]))[o]
+        if len(back) == len(raw) and (size == offsets).all():
+            wrong = np.append(0, np.cumsum(back != raw))[offsets]
+            exact.append(wrong[1:] == wrong[:-1])
+        else:
+            exact.append(np.array([back[a:b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(size, size[1:], offsets, offsets[1:])]))
+    none = np.array(column.is_null())
+    at = np.concatenate(ends)
+    tables = last[1] if len(last) == 2 else pa.concat_arrays(last)
+    if none.any():
+        tables = pc.if_else(pa.array(none), pa.scalar(None, pa.binary()), tables)
+    return pa.StructArray.from_arrays([_list_of_int32(np.concatenate(tokens) if tokens else np.zeros(0, np.int32), at, none), pa.array(np.concatenate(exact) if exact else np.zeros(0, bool), pa.bool_(), mask=none), tables], ["tokens", "exact", "last"])
+
+
 def encode_column(text: Column, lines) -> Column:
-    """struct(tokens, exact): the encoding and whether decoding gives the very bytes back. lines: a broadcast vocabulary."""
+    """struct(tokens, exact, last): the encoding, whether decoding gives the very bytes back, and the table of last tokens (int32 by
+    byte prefix, as binary). lines: a broadcast vocabulary."""
 
-    @arrow_udf("struct<tokens: array<int>, exact: boolean>")
+    @arrow_udf("struct<tokens: array<int>, exact: boolean, last: binary>")
     def encode(column: pa.Array) -> pa.Array:
-        bpe = _bpe(lines.value)
-        tokens, ends, exact = [], [np.zeros(1, np.int64)], []
-        done = 0
-        for _, _, raw, offsets in steps(column, STEP):
-            t, o = bpe.encode_step(raw, offsets)
-            tokens.append(t)
-            ends.append(o[1:] + done)
-            done += len(t)
-            back = bpe.decode_flat(t)
-            size = np.append(0, np.cumsum(bpe.length[t]))[o]
-            if len(back) == len(raw) and (size == offsets).all():
-                wrong = np.append(0, np.cumsum(back != raw))[offsets]
-                exact.append(wrong[1:] == wrong[:-1])
-            else:
-                exact.append(np.array([back[a:b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(size, size[1:], offsets, offsets[1:])]))
-        none = np.array(column.is_null())
-        at = np.concatenate(ends)
-        return pa.StructArray.from_arrays([_list_of_int32(np.concatenate(tokens) if tokens else np.zeros(0, np.int32), at, none), pa.array(np.concatenate(exact) if exact else np.zeros(0, bool), pa.bool_(), mask=none)], ["tokens", "exact"])
+        return _encoded(_bpe(lines.value), column)
 
     return encode(text)
 
@@ -339,12 +355,39 @@ def append_column(text: Column, table: Column, more: Column, lines) -> Column:
     return append(text, table, more)
 
 
+def edit_column(text: Column, table: Column, at: Column, removed: Column, inserted: Column, lines) -> Column:
+    """The table after ``removed`` characters from character ``at`` (from 0) give way to others; null if one of the five is null."""
+
+    @arrow_udf("binary")
+    def edit(*columns: pa.Array) -> pa.Array:
+        bpe, out = _bpe(lines.value), []
+        for t, p, a, n, new in zip(*(c.to_pylist() for c in columns)):
+            if t is None or p is None or a is None or n is None or new is None:
+                out.append(None)
+                continue
+            before, gone = t[:a].encode(), t[a : a + n].encode()
+            out.append(bpe.edit(np.frombuffer(p, np.int32), t.encode(), len(before), len(gone), new.encode())[0].tobytes())
+        return pa.array(out, pa.binary())
+
+    return edit(text, table, at.cast("long"), removed.cast("long"), inserted)
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, n_tokens, exact) for every row; exact: decoding the tokens gives the text's bytes.
+    """(doc_id, tokens, n_tokens, exact, last) for every row; exact: decoding the tokens gives the text's bytes; last: the last token of
+    every byte prefix (int32, as binary), from which the tokens are walked back and which ``append_column`` and ``edit_column`` go on from.
 
-    A null text has null in all three; an empty one has no tokens. Repeated rows and null ids are encoded like any other.
+    A null text has null in all four; an empty one has no tokens. Repeated rows and null ids are encoded like any other.
     Other columns are not read. Texts of any length are encoded whole; only distinct chunks cost more than a look-up.
     """
     lines = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    e = encode_column(F.col(text), lines)
-    return docs.select(F.col(doc_id).alias("doc_id"), e.alias("e")).select("doc_id", "e.tokens", F.when(F.col("e.tokens").isNotNull(), F.size("e.tokens")).alias("n_tokens"), "e.exact")
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+
+    def run(batches):
+        # the tables are four times the text, so a batch is handed on step by step
+        for b in batches:
+            for lo, hi, _, _ in steps(b.column(1), STEP):
+                e = _encoded(_bpe(lines.value), b.column(1).slice(lo, hi - lo))
+                tokens, exact, last = e.flatten()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), tokens, pc.list_value_length(tokens), exact, last], ["doc_id", "tokens", "n_tokens", "exact", "last"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean, last binary")

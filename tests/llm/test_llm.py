@@ -139,3 +139,27 @@ def test_one_of_each_with_several_texts_of_an_id(spark):
     kept = rows(got)
     assert [r for r in kept if r[0] != 7] == sorted([(1, a), (5, b), (5, None), (5, ""), (8, "p q")], key=repr)
     assert sum(r[0] == 7 for r in kept) == 1
+
+
+def test_bpe_tables_against_full_encoding(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    b, r = bpe.Bpe(bpe.vocabulary()), random.Random(4)
+    bits = ["the", " ", "\n", "  ", "naïve", "日本", "　", "'s", "123", "!?", "über", " a", "🙂", "\u2009", "x" * 9]
+    text = lambda n: "".join(r.choice(bits) for _ in range(n))
+    data = [(i, s := text(r.randint(0, 40)), at := r.randint(0, len(s)), r.randint(0, len(s) - at), text(r.randint(0, 4))) for i in range(300)] + [(900, None, 0, 0, "x"), (901, "a b", 1, 1, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, at int, removed int, more string")
+    lines = spark.sparkContext.broadcast(bpe.vocabulary())
+    e = bpe.encode(d).join(d, "doc_id").select("*", bpe.prefix_column(F.col("text"), lines).alias("p"), bpe.decode_column(F.col("tokens"), lines).alias("back"))
+    got = e.select("*", bpe.append_column(F.col("text"), F.col("last"), F.col("more"), lines).alias("appended"), bpe.edit_column(F.col("text"), F.col("last"), F.col("at"), F.col("removed"), F.col("more"), lines).alias("edited")).collect()
+    whole = lambda s: b.prefixes(s.encode()).tobytes()
+    assert len(got) == len(data)
+    for x in got:
+        if x.text is None or x.more is None:
+            assert x.appended is None and x.edited is None and (x.text is not None or x.last is None and x.back is None)
+            continue
+        assert x.last == x.p == whole(x.text) and x.back == x.text and x.tokens == b.walk(np.frombuffer(x.last, np.int32))
+        assert x.appended == whole(x.text + x.more)
+        assert x.edited == whole(x.text[: x.at] + x.more + x.text[x.at + x.removed :])
