@@ -2,7 +2,7 @@
 
 n-grams of 1 to 3 code points of the lower-cased text fall into hashed slots. Document frequencies are counted over all
 documents. The weights come from follow-the-regularised-leader with elastic-net penalties over a bounded sample of
-labelled rows, so most are exactly zero; a temperature fitted on held-out rows of that sample calibrates the probabilities.
+labelled rows by label, so most are exactly zero; a temperature fitted on held-out rows of that sample calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import share_first, sum_arrays
+from gleanspark.llm._shared import sum_arrays
 
 BITS = 14
 SLOTS = 1 << BITS
@@ -121,8 +121,21 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def _limits(labels: dict[str, tuple[int, int]], sample: int) -> dict[str, int]:
+    """By label the greatest hash of the rows that train, from its (rows, least hash): what small labels don't use the others share."""
+    out, left = {}, sample
+    for k, (name, (n, least)) in enumerate(sorted(labels.items(), key=lambda x: (x[1], x[0]))):
+        wanted = min(n, max(1, left // (len(labels) - k)))
+        left -= wanted
+        out[name] = 2**63 - 1 if wanted == n else max(least, -(2**63) + wanted * 2**64 // n)
+    return out
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000) -> Model:
-    """A model from about ``sample`` labelled rows (those first by hash of id and text) and the document frequencies of all rows."""
+    """A model from about ``sample`` labelled rows and the document frequencies of all rows.
+
+    Each label gives as many rows (those first by hash of id and text), or all it has; one at least, so every label is a class.
+    """
     df, total = document_frequencies(docs, text)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
@@ -136,8 +149,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 many.append(x[i].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.binary()), pa.array(many, pa.binary())], ["lang", "at", "many"])
 
-    labelled = docs.where(share_first(sample, total, F.col(doc_id), F.col(text))).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    rows = labelled.mapInArrow(features, "lang string, at binary, many binary").collect()
+    labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h")).where("lang is not null and length(text) > 0")
+    limits = _limits({r["lang"]: (r["n"], r["least"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}, sample)
+    chosen = docs.sparkSession.createDataFrame(list(limits.items()), "label string, most long")
+    rows = labelled.join(F.broadcast(chosen), F.col("lang") == F.col("label")).where("h <= most").select("text", "lang").mapInArrow(features, "lang string, at binary, many binary").collect()
     rows.sort(key=lambda r: (hash_bytes(r["at"]), r["lang"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:

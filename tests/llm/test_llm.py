@@ -141,6 +141,17 @@ def test_one_of_each_with_several_texts_of_an_id(spark):
     assert sum(r[0] == 7 for r in kept) == 1
 
 
+def test_language_sample_has_every_label(spark):
+    data = [(i, f"some english text number {i}", "en" if i % 40 == 0 else None) for i in range(1200)] + [(5000 + i, f"ganz anderer deutscher satz {i}", "de") for i in range(600)] + [(9999, "日本語の文章です", "ja")]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    m = language_id.train(d, sample=60)
+    assert m.langs == ["de", "en", "ja"]
+    found = {r.doc_id: r.predicted for r in language_id.identify(d, sample=60).collect()}
+    assert found[1] == "en" and found[5001] == "de"
+    limits = language_id._limits({"a": (10, -5), "b": (10**6, -(2**63) + 2**60), "c": (10**6, 0)}, 2)
+    assert set(limits) == {"a", "b", "c"} and all(v >= k for v, k in zip(limits.values(), (-5, -(2**63) + 2**60, 0)))
+
+
 def test_bpe_tables_against_full_encoding(spark):
     import random
 
