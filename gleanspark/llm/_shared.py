@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,36 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Hand memory that Arrow and the C library keep for later back to the system: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and ``release`` at the end of each task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def number_of(docs: DataFrame, doc_id: str) -> Column:
+    """An id as a long: itself where it is an integer, else a hash of its text; null for null."""
+    from pyspark.sql.types import IntegralType
+
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        return F.col(doc_id).cast("long")
+    return F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,199 +1,252 @@
 """N-gram Jaccard self-join by a grouped prefix join.
 
-A document is the set of its word n-grams (one of fewer words has one gram of all its words). A global
-order of the grams puts rare ones first. Two sets of Jaccard similarity t or more share a gram among the
-first n - ceil(t n) + 1 of each (n: the set's size), their prefixes. So:
-
-1. one pass counts grams in a fixed number of buckets over all documents (the order's rarity classes);
-2. documents with the same prefix and size collapse into one group;
-3. groups' prefixes go to partitions by gram; for groups that meet and pass the length filter the shared grams of their
-   prefixes are counted. What a set has beyond its prefix is known, so the count bounds the overlap; a pair whose bound is
-   too low goes.
-4. pairs expand to members; equal sets are one node. Nodes with the same smallest partner form blocks, and
-   each pair of blocks with a candidate is one cell, to which the nodes' whole sets are sent once;
-5. a cell verifies all its pairs by exact overlaps.
-
-Nothing is capped. Grams are compared as 64-bit hashes (8 bits of rarity class, 56 of the gram).
+A document is the set of its word n-grams (one of fewer words has one gram of all its words). A global order of the grams puts
+rare ones first: by the product of their words' frequencies, and grams that are themselves frequent last. Two sets of Jaccard
+similarity t or more share a gram among the first n - ceil(t n) + 1 of each (n: the set's size), their prefixes. So:
+
+1. one pass counts words and grams in a fixed number of buckets over all documents (the order's rarity classes, 2 MB at any size);
+2. documents with the same prefix and size are one group; a prefix's least gram under another hash is the group's label;
+3. groups' prefixes go to partitions by gram. Groups of one label are near copies as a rule and are not paired here; for groups
+   of different labels that meet and pass the length filter the shared grams of their prefixes are counted. What a set has
+   beyond its prefix is known, so the count bounds the overlap; a pair whose bound is too low goes;
+4. nodes (distinct sets) of a label form blocks. Each two blocks of one label are a cell, and so are two blocks of different
+   labels with a candidate pair; a node's whole set is sent once to each of its cells;
+5. a cell verifies all its pairs by exact overlaps and returns, by node, how many documents are similar and a link to the
+   smallest node of its component in the cell: rows grow with nodes, not with pairs.
+
+Nothing is capped. Grams are compared as 64-bit keys (10 bits of rarity class, 54 of the gram's hash).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, key_runs, mix, shuffle_partitions, signed, steps, word_hashes
+from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
 
-BUCKETS = 1 << 18
-#: Documents to verify that may be broadcast (some 20 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BITS = 20
+BUCKETS = 1 << BITS
+SLICE = 1 << 16
+#: A gram's bucket is crowded beyond so many times the mean.
+CROWDED = 4
+#: Bytes of rows to verify that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Nodes of a block: two blocks' sets and their overlaps are what a task holds at once.
 BLOCK = 1024
+#: Sizes are carried as whole powers of this.
+STEP = 1.005
+_LOW54 = np.uint64((1 << 54) - 1)
+_LABEL = np.uint64(0x5851F42D4C957F2D)
 
 
-def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """The distinct gram hashes of each document of a step; empty without words."""
+@dataclass
+class Rarity:
+    """By bucket of words, 8 log2 of their count; by bucket of grams, the same plus 1 where it is crowded, else 0."""
+
+    words: np.ndarray
+    grams: np.ndarray
+
+
+def rarity_classes(docs: DataFrame, text: str, n: int) -> Rarity:
+    """Counts of all documents' words and grams, added up on executors slice by slice; the driver gets 2 MB of classes."""
+
+    def count(batches):
+        totals = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            for _, _, raw, offsets in steps(b.column(0)):
+                h = word_hashes(raw, offsets)[0]
+                for total, x in zip(totals, (h, gram_hashes(h, n))):
+                    total += np.bincount((x >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
+        flat = totals.ravel()
+        at = list(range(0, len(flat), SLICE))
+        yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in at], pa.int32()), pa.array([zlib.compress(flat[i : i + SLICE].tobytes(), 1) for i in at], pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                v = np.frombuffer(zlib.decompress(v.as_py()), np.int64)
+                sums[k] = sums[k] + v if k in sums else v
+        for k, v in sums.items():
+            cls = np.minimum(254, np.floor(8 * np.log2(np.maximum(v, 1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cls.tobytes()], pa.binary()), pa.array([int(v.sum())], pa.int64())], ["slice", "classes", "total"])
+
+    parts = min(2 * BUCKETS // SLICE, shuffle_partitions(docs.sparkSession))
+    rows = docs.select(text).mapInArrow(releasing(count), "slice int, counts binary").repartition(parts, "slice").mapInArrow(releasing(add), "slice int, classes binary, total long").collect()
+    out = np.zeros(2 * BUCKETS, np.uint8)
+    grams = 0
+    for r in rows:
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["classes"], np.uint8)
+        grams += r["total"] if r["slice"] * SLICE >= BUCKETS else 0
+    words, classes = out[:BUCKETS], out[BUCKETS:]
+    crowded = 8 * np.log2(max(CROWDED * grams / BUCKETS, 1e-9))
+    return Rarity(words, np.where(classes > crowded, classes + 1, 0).astype(np.uint8))
+
+
+def ordered_sets(raw: np.ndarray, offsets: np.ndarray, n: int, rarity: Rarity) -> Iterator[np.ndarray]:
+    """The sorted distinct gram keys of each document of a step; empty without words."""
     h, _, _, first = word_hashes(raw, offsets)
     g = gram_hashes(h, n)
+    keys = np.zeros(0, np.uint64)
+    if len(g):
+        total = np.append(0, np.cumsum(rarity.words[(h >> np.uint64(64 - BITS)).astype(np.int64)], dtype=np.int64))
+        crowd = rarity.grams[(g >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)
+        cls = np.where(crowd > 0, 512 + crowd, 2 * (total[n:] - total[:-n]) // n)
+        keys = cls.astype(np.uint64) << np.uint64(54) | g & _LOW54
     for i in range(len(first) - 1):
         a, b = first[i], first[i + 1]
         if b - a >= n:
-            yield np.unique(g[a : b - n + 1])
+            yield np.unique(keys[a : b - n + 1])
         elif b > a:
-            yield mix(np.array([int(xxhash.xxh64_intdigest(h[a:b].tobytes(), seed=int(b - a)))], np.uint64))
+            yield mix(np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), seed=int(b - a))], np.uint64)) & _LOW54
         else:
             yield np.zeros(0, np.uint64)
 
 
-def _ordered(grams: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Grams as sorted keys of the global order."""
-    cls = rarity[(grams >> np.uint64(64 - 18)).astype(np.int64)].astype(np.uint64)
-    return np.sort((cls << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
-
-
 def prefix_length(n: int, t: float) -> int:
     return n - int(np.ceil(t * n - 1e-9)) + 1
 
 
-def rarity_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """By bucket of grams, 8 log2 of how many of all documents' grams fall there (a fixed 256 kB)."""
-
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for _, _, raw, offsets in steps(b.column(0)):
-                grams = [g for g in gram_sets(raw, offsets, n) if len(g)]
-                if grams:
-                    total += np.bincount((np.concatenate(grams) >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
-        for i in range(0, BUCKETS, 4096):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + 4096].tolist()], pa.list_(pa.int64()))], ["slice", "counts"])
-
-    def add(pdf_iter):
-        sums: dict[int, np.ndarray] = {}
-        for b in pdf_iter:
-            at = b.column(0).to_numpy()
-            values = b.column(1).flatten().to_numpy().reshape(-1, 4096)
-            for k, v in zip(at, values):
-                sums[int(k)] = sums.get(int(k), 0) + v
-        for k, v in sums.items():
-            cls = np.minimum(255, np.floor(8 * np.log2(np.maximum(v, 1)))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cls.tobytes()], pa.binary())], ["slice", "classes"])
+def group_of(prefix: np.ndarray, size: int) -> int:
+    """32 bits of label, 12 of the size's logarithm, 20 of a hash of prefix and size."""
+    label = int(mix(prefix ^ _LABEL).min()) >> 32
+    return label << 32 | min(4095, int(np.log(size) / np.log(STEP) + 1e-9)) << 20 | xxhash.xxh64_intdigest(prefix.tobytes(), seed=size) & 0xFFFFF
 
-    parts = min(BUCKETS // 4096, shuffle_partitions(docs.sparkSession))
-    rows = docs.select(text).mapInArrow(count, "slice int, counts array<bigint>").repartition(parts, "slice").mapInArrow(add, "slice int, classes binary").collect()
-    out = np.zeros(BUCKETS, np.uint8)
-    for r in rows:
-        out[r["slice"] : r["slice"] + 4096] = np.frombuffer(r["classes"], np.uint8)
-    return out
 
-
-def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, t: float, rarity) -> DataFrame:
-    """By document with words: group key, hash and size of its set, prefix, hash of the text."""
+def _signatures(docs: DataFrame, n: int, t: float, rarity) -> DataFrame:
+    """By document with words: group, hash and size of its set, hash of the text."""
 
     def run(batches):
         for b in batches:
-            at, group, whole, size, prefix, lengths = [], [], [], [], [], [0]
-            for lo, _, raw, offsets in steps(b.column(1)):
-                for i, g in enumerate(gram_sets(raw, offsets, n), lo):
-                    if len(g):
-                        k = _ordered(g, rarity.value)
-                        p = k[: prefix_length(len(k), t)]
+            at, group, whole, size = [], [], [], []
+            for lo, _, raw, offsets in steps(b.column(2)):
+                for i, k in enumerate(ordered_sets(raw, offsets, n, rarity.value), lo):
+                    if len(k):
                         at.append(i)
-                        group.append(xxhash.xxh64_intdigest(p.tobytes(), seed=len(k)))
+                        group.append(group_of(k[: prefix_length(len(k), t)], len(k)))
                         whole.append(xxhash.xxh64_intdigest(k.tobytes(), seed=7))
                         size.append(len(k))
-                        prefix.append(p)
-                        lengths.append(lengths[-1] + len(p))
             if at:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at)), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32()), binary_rows(np.concatenate(prefix), np.array(lengths)), b.column(2).take(pa.array(at))],
-                    ["doc", "grp", "whole", "size", "prefix", "th"],
-                )
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32())], ["doc", "th", "grp", "whole", "size"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where("doc is not null").mapInArrow(run, "doc long, grp long, whole long, size int, prefix binary, th long")
+    return docs.mapInArrow(releasing(run), "doc long, th long, grp long, whole long, size int")
 
 
-def _postings(sig: DataFrame, parts: int) -> DataFrame:
-    """Postings of a batch for each partition, as one row: distinct groups with size and number of grams, then these grams by group."""
+def _postings(docs: DataFrame, n: int, t: float, rarity, parts: int) -> DataFrame:
+    """Postings of a batch for each partition, as one row: groups with their number of grams, then these grams (32 bits within a
+    partition; a collision can only add a candidate). A task sends a group that it remembers once."""
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            grp = b.column(1).to_numpy()
-            _, once = np.unique(grp, return_index=True)
-            b = b.take(pa.array(once))
-            raw, offsets = bytes_of(b.column(4))
-            keys, offsets = np.ascontiguousarray(raw).view(np.uint64), offsets // 8
-            doc = np.repeat(np.arange(b.num_rows, dtype=np.int32), np.diff(offsets))
-            to = (mix(keys) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[p] : cuts[p + 1]]
-                used, many = np.unique(doc[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (b.column(1).to_numpy()[used], b.column(3).to_numpy()[used].astype(np.int32), keys[own], many.astype(np.int32))],
-                    ["part", "grp", "size", "gram", "many"],
-                )
-
-    return sig.mapInArrow(run, "part int, grp binary, size binary, gram binary, many binary")
-
-
-def _pairs_of_lists(gram, grp, size, t: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of groups that meet at grams and pass the length filter, with their sizes and how often they met."""
-    order = np.lexsort((grp, gram))
-    gram, grp, size = gram[order], grp[order], size[order]
-    keep = np.ones(len(gram), bool)
-    keep[1:] = (gram[1:] != gram[:-1]) | (grp[1:] != grp[:-1])
-    gram, grp, size = gram[keep], grp[keep], size[keep]
-    names, number = np.unique(grp, return_inverse=True)
-    of = np.zeros(len(names), size.dtype)
-    of[number] = size
-    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(gram)))
-    # each posting with the later ones of its list
-    later = np.repeat(lengths, lengths) - 1 - (np.arange(len(gram)) - np.repeat(starts, lengths))
+            for _, _, raw, offsets in steps(b.column(2), 1 << 22):
+                groups, prefixes = [], []
+                for k in ordered_sets(raw, offsets, n, rarity.value):
+                    if len(k):
+                        p = k[: prefix_length(len(k), t)]
+                        g = group_of(p, len(k))
+                        if g not in seen:
+                            seen.add(g)
+                            groups.append(g)
+                            prefixes.append(p)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if not groups:
+                    continue
+                grp = signed(np.array(groups, np.uint64))
+                doc = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for p in prefixes])
+                key = mix(np.concatenate(prefixes))
+                to = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                order = np.argsort(to, kind="stable")
+                cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
+                gram = (key >> np.uint64(32)).astype(np.uint32)
+                for p in np.flatnonzero(np.diff(cuts)):
+                    own = order[cuts[p] : cuts[p + 1]]
+                    used, many = np.unique(doc[own], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (grp[used], many.astype(np.int32), gram[own])], ["part", "grp", "many", "gram"])
+
+    return docs.mapInArrow(releasing(run), "part int, grp binary, many binary, gram binary")
+
+
+def size_bounds(grp):
+    """(least, greatest) size of a group from its number; of numpy arrays."""
+    c = (grp.view(np.uint64) >> np.uint64(20) & np.uint64(0xFFF)).astype(np.float64)
+    return STEP**c - 1e-6, np.where(c < 4095, STEP ** (c + 1) + 1e-6, np.inf)
+
+
+def _pairs_of_lists(gram: np.ndarray, grp: np.ndarray, t: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of groups of different labels that meet at grams and pass the length filter, and how often they met."""
+    names, number = np.unique(grp.view(np.uint64), return_inverse=True)  # in the order of labels
+    label = names >> np.uint64(32)
+    low, high = size_bounds(names)
+    key = np.unique(gram.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
+    gram, number = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if not len(key):
+        return
+    new = np.concatenate([[True], gram[1:] != gram[:-1]])
+    run = new | np.concatenate([[True], label[number[1:]] != label[number[:-1]]])
+    list_end = np.append(np.flatnonzero(new)[1:], len(gram))[np.cumsum(new) - 1]
+    run_end = np.append(np.flatnonzero(run)[1:], len(gram))[np.cumsum(run) - 1]
+    # each posting with those of its list that have a later label
+    later = list_end - run_end
     rows = np.flatnonzero(later)
-    lo = 0
-    total = np.cumsum(later[rows])
+    lo, total = 0, np.cumsum(later[rows])
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
-        r = rows[lo:hi]
-        i = np.repeat(r, later[r])
-        ends = np.cumsum(later[r])
-        j = i + 1 + np.arange(len(i)) - np.repeat(ends - later[r], later[r])
-        ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
-        key, count = np.unique(number[i[ok]] * len(names) + number[j[ok]], return_counts=True)
-        a, b = key // len(names), key % len(names)
-        yield names[a], names[b], of[a], of[b], count
+        # a posting of a very long list alone may have more partners than a step: they are taken in steps as well
+        span = int(total[hi - 1] - (total[lo - 1] if lo else 0))
+        for part in range(0, span, most) if hi == lo + 1 else (0,):
+            r = rows[lo:hi]
+            if hi == lo + 1:
+                j = np.arange(int(run_end[r[0]]) + part, min(int(run_end[r[0]]) + part + most, int(list_end[r[0]])))
+                i = np.full(len(j), r[0])
+            else:
+                i = np.repeat(r, later[r])
+                ends = np.cumsum(later[r])
+                j = run_end[i] + np.arange(len(i)) - np.repeat(ends - later[r], later[r])
+            a, b = number[i], number[j]
+            ok = (high[a] >= t * low[b]) & (high[b] >= t * low[a])
+            pair, count = np.unique(a[ok] << 32 | b[ok], return_counts=True)
+            yield names[pair >> 32].view(np.int64), names[pair & 0xFFFFFFFF].view(np.int64), count
         lo = hi
 
 
+def _size_of(grp: Column, up: int) -> Column:
+    return F.pow(F.lit(STEP), F.shiftrightunsigned(grp, 20).bitwiseAND(F.lit(0xFFF)) + up)
+
+
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
+    """Pairs of groups of different labels whose shared prefix grams leave enough overlap possible."""
+
     def run(batches):
-        parts: dict[int, list] = {}
+        parts: dict[int, tuple[list, list]] = {}
         for b in batches:
-            for r in b.to_pylist():
-                parts.setdefault(r["part"], []).append(r)
-        for rows in parts.values():
-            cols = ([], [], [])
-            for r in rows:
-                grp = np.frombuffer(r["grp"], np.int64)
-                cols[0].append(np.frombuffer(r["gram"], np.uint64))
-                at = np.repeat(np.arange(len(grp)), np.frombuffer(r["many"], np.int32))
-                cols[1].append(grp[at])
-                cols[2].append(np.frombuffer(r["size"], np.int32)[at])
-            for a, b, na, nb, n in _pairs_of_lists(*(np.concatenate(c) for c in cols), t):
+            part = b.column(0).to_numpy()
+            for i in range(b.num_rows):
+                grp, many, gram = (np.frombuffer(b.column(c)[i].as_buffer(), d) for c, d in ((1, np.int64), (2, np.int32), (3, np.uint32)))
+                held = parts.setdefault(int(part[i]), ([], []))
+                held[0].append(gram.copy())
+                held[1].append(np.repeat(grp, many))
+        for p in list(parts):
+            gram, grp = (np.concatenate(x) for x in parts.pop(p))
+            for a, b, n in _pairs_of_lists(gram, grp, t):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(n.astype(np.int32))], ["ga", "gb", "na", "nb", "met"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["ga", "gb", "met"])
 
-    met = postings.mapInArrow(run, "ga long, gb long, na int, nb int, met int").groupBy("ga", "gb", "na", "nb").agg(F.sum("met").alias("met"))
-    # beyond its prefix a set of n has ceil(t n) - 1 grams
-    beyond = F.ceil(F.lit(t) * F.greatest("na", "nb") - 1e-9) - 1
-    return met.where((F.col("met") + beyond) * (1 + t) >= F.lit(t) * (F.col("na") + F.col("nb")) - 1e-6).select("ga", "gb")
+    met = postings.mapInArrow(releasing(run), "ga long, gb long, met int").groupBy("ga", "gb").agg(F.sum("met").alias("met"))
+    # beyond its prefix a set of n has less than t n grams; the logarithm's last class has no upper bound
+    a, b = F.col("ga"), F.col("gb")
+    beyond = F.lit(t) * F.greatest(_size_of(a, 1), _size_of(b, 1))
+    open_end = F.greatest(_size_of(a, 0), _size_of(b, 0)) >= STEP**4095 * 0.999
+    return met.where(open_end | ((F.col("met") + beyond) * (1 + t) >= F.lit(t) * (_size_of(a, 0) + _size_of(b, 0)) - 1e-3)).select("ga", "gb")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
@@ -216,150 +269,178 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None
         dense = np.zeros((len(sets), int(ident[z - 1]) - lo + 1), np.float32)
         dense[owner[a:z], ident[a:z] - lo] = 1
         out += dense[left] @ dense[b].T
-    return np.rint(out).astype(np.int64)
+    return out
+
+
+def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By number below n, the smallest number that the undirected edges (i, j) lead to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _verify(routed: DataFrame, t: float) -> DataFrame:
-    """Similar pairs of each cell's two blocks (or of its one)."""
+    """By cell and node with similar nodes in the cell: the smallest node of its component there, and the documents that its similar nodes have."""
+
+    def of_cell(node, block, weight, sets):
+        size = np.array([len(s) for s in sets], np.float64)
+        kinds = np.unique(block)
+        if len(kinds) > 2:
+            raise ValueError("a cell has two blocks at most")
+        left = np.flatnonzero(block == kinds[0])
+        right = left if len(kinds) == 1 else np.flatnonzero(block == kinds[1])
+        both = _overlaps(sets, left, None if len(kinds) == 1 else right)
+        similar = both >= t * (size[left][:, None] + size[right][None] - both) - 1e-6
+        if len(kinds) == 1:
+            np.fill_diagonal(similar, False)
+        links = np.zeros(len(node), np.int64)
+        # at most two blocks' documents: below 2**53, so sums in doubles are exact
+        links[left] += np.rint(similar @ weight[right].astype(np.float64)).astype(np.int64)
+        if len(kinds) == 2:
+            links[right] += np.rint(similar.T @ weight[left].astype(np.float64)).astype(np.int64)
+        i, j = np.nonzero(similar)
+        return links, smallest_reached(len(node), left[i], right[j])
 
     def run(batches):
         for table in key_runs(batches, "cell"):
             table = table.combine_chunks()
-            cell, block, node = (table.column(c).to_numpy() for c in ("cell", "block", "node"))
+            cell, block, node, weight = (table.column(c).to_numpy() for c in ("cell", "block", "node", "weight"))
             raw, offsets = bytes_of(table.column("grams"))
             grams, offsets = np.ascontiguousarray(raw).view(np.uint64), offsets // 8
             cuts = [*np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell)]
-            found = [[], [], [], [], []]
+            found = [[], [], []]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                _, once = np.unique(node[lo:hi], return_index=True)
+                _, once = np.unique(node[lo:hi], return_index=True)  # in the order of nodes
                 at = lo + once
                 if len(at) < 2:
                     continue
-                sets = [grams[offsets[i] : offsets[i + 1]] for i in at]
-                size = np.array([len(s) for s in sets])
-                if len(at) == 2:
-                    i, j = np.array([0]), np.array([1])
-                    both = np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))])
-                else:
-                    kinds = np.unique(block[at])
-                    left = np.flatnonzero(block[at] == kinds[0])
-                    if len(kinds) == 1:
-                        over = _overlaps(sets, left, None)
-                        i, j = np.triu_indices(len(left), 1)
-                        both = over[i, j]
-                    else:
-                        right = np.flatnonzero(block[at] != kinds[0])
-                        over = _overlaps(sets, left, right)
-                        i, j = (x.ravel() for x in np.indices(over.shape))
-                        both = over[i, j]
-                        i, j = left[i], right[j]
-                ok = both >= t * (size[i] + size[j] - both) - 1e-9
-                for f, x in zip(found, (node[at[i[ok]]], node[at[j[ok]]], both[ok], size[i[ok]], size[j[ok]])):
+                links, root = of_cell(node[at], block[at], weight[at], [grams[offsets[i] : offsets[i + 1]] for i in at])
+                some = np.flatnonzero(links)
+                for f, x in zip(found, (node[at[some]], node[at[root[some]]], links[some])):
                     f.append(x)
             if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).astype(np.int64)) for f in found], ["a", "b", "overlap", "na", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).astype(np.int64)) for f in found], ["node", "least", "links"])
 
-    return routed.mapInArrow(run, "a long, b long, overlap long, na long, nb long")
+    return routed.mapInArrow(releasing(run), "node long, least long, links long")
 
 
-def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text", members: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, pairs): nodes(node, size, docs: sorted ids of documents with this very set) and pairs(a, b, overlap, na, nb) of
-    nodes with Jaccard similarity t or more. With members, nodes have members too: (doc, th), id and hash of the text."""
+def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, links): members(doc, th, node), the documents by number of the id and hash of the text; nodes(node, doc: the
+    smallest, weight: how many documents); and links(node, root, links) of nodes that have similar ones: the smallest node of the
+    connected component and how many documents the similar nodes have."""
     if not 0 < t <= 1 or n < 1:
         raise ValueError("0 < t <= 1 and n >= 1")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "jaccard")
     rarity = spark.sparkContext.broadcast(rarity_classes(docs, text, n))
-    sig = scratch.save(_signatures(docs, doc_id, text, n, t, rarity))
-    node = F.xxhash64("grp", "whole")
-    nodes = scratch.save(sig.groupBy("grp", "whole", "size").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_set("doc")).alias("docs"), *[F.collect_set(F.struct("doc", "th")).alias("members")] * members).withColumn("node", node))
-    found = _candidates(_postings(sig, parts).repartitionById(parts, F.col("part")), t)
-    same = nodes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    small = nodes.select("grp", "node", "size", "doc")
-    pairs = (
-        found.unionByName(same)
-        .join(small.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("size").alias("na")), "ga")
-        .join(small.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("size").alias("nb")), "gb")
-        .where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    pairs = scratch.save(pairs)
-    scratch.drop(sig)
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = scratch.save(edges.groupBy("a").agg(F.min("b").alias("label")).select("a", F.least("a", "label").alias("label")))
-    count = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("subs"))
-    block = label.join(count, "label").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), "subs")).alias("block"))
-    routes = (
-        pairs.join(block.select("a", F.col("block").alias("ka")), "a")
-        .join(block.select(F.col("a").alias("b"), F.col("block").alias("kb")), "b")
+    texts = docs.select(number_of(docs, doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    members = scratch.save(_signatures(texts, n, t, rarity).select("doc", "th", F.xxhash64("grp", "whole", "size").alias("node"), "grp", "whole", "size").distinct())
+    nodes = members.groupBy("node", "grp", "whole").agg(F.count_distinct("doc").alias("weight"), F.min(F.struct("doc", "th")).alias("first"))
+    label = F.shiftright("grp", 32)
+    labels = nodes.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    nodes = nodes.withColumn("label", label).join(labels, "label").withColumn("subs", F.ceil(F.col("n") / BLOCK)).withColumn("sub", F.pmod(F.xxhash64("node"), "subs"))
+    nodes = scratch.save(nodes.select("node", "grp", "whole", "weight", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), "label", "n", "subs", "sub", F.xxhash64("label", "sub").alias("block")))
+
+    gram_parts = -(-parts // 4)  # of some millions of postings each
+    found = _candidates(_postings(texts, n, t, rarity, gram_parts).repartitionById(gram_parts, F.col("part")), t)
+    small = nodes.select("grp", "node", "block")
+    crossing = (
+        found.join(small.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("block").alias("ka")), "ga")
+        .join(small.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("block").alias("kb")), "gb")
         .select("a", "ka", "b", "kb", F.xxhash64(F.least("ka", "kb"), F.greatest("ka", "kb")).alias("cell"))
+        .select(F.explode(F.array(F.struct(F.col("a").alias("node"), "cell"), F.struct(F.col("b").alias("node"), "cell"))).alias("r"))
+        .select("r.node", "r.cell")
+        .distinct()
     )
-    routes = routes.select(F.explode(F.array(F.struct("a", "ka", "cell"), F.struct(F.col("b").alias("a"), F.col("kb").alias("ka"), "cell"))).alias("r")).select("r.a", F.col("r.ka").alias("block"), "r.cell").distinct()
-    routes = routes.groupBy(F.col("a").alias("node"), "block").agg(F.collect_list("cell").alias("cells")).join(small, "node")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    with_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
+    inner = nodes.where("n > 1").select("node", "label", "sub", with_.alias("other")).select("node", F.xxhash64("label", F.least("sub", "other"), F.greatest("sub", "other")).alias("cell"))
+    # a node's cells as one list: as many as its block has blocks with a candidate
+    routes = crossing.unionByName(inner).groupBy("node").agg(F.collect_list("cell").alias("cells"))
+    wanted = scratch.save(routes.join(nodes.select("node", "block", "weight", "whole", F.col("doc").alias("own_doc"), F.col("th").alias("own_th")), "node"))
+    need = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells")).first()
 
     def sets(batches):
         for b in batches:
-            node_, block_, cells, grams, lengths = [], [], [], [], [0]
-            wanted, whole = b.column(1).to_pylist(), b.column(4).to_numpy()
-            blocks, lists = b.column(2).to_pylist(), b.column(3).to_pylist()
+            lists = b.column(4)
+            many, flat = np.asarray(lists.value_lengths()), lists.flatten().to_numpy()
+            ends = np.cumsum(many)
+            whole = b.column(5).to_numpy()
+            at, grams = [], []
+            held = 0
             for lo, _, raw, offsets in steps(b.column(0)):
-                for i, g in enumerate(gram_sets(raw, offsets, n), lo):
-                    k = _ordered(g, rarity.value)
-                    if len(k) and np.int64(np.uint64(xxhash.xxh64_intdigest(k.tobytes(), seed=7)).view(np.int64)) == whole[i]:
-                        for c in lists[i]:
-                            node_.append(wanted[i])
-                            block_.append(blocks[i])
-                            cells.append(c)
-                            grams.append(k)
-                            lengths.append(lengths[-1] + len(k))
-                if lengths[-1] > 1 << 21:
-                    yield rows(node_, block_, cells, grams, lengths)
-                    node_, block_, cells, grams, lengths = [], [], [], [], [0]
-            if node_:
-                yield rows(node_, block_, cells, grams, lengths)
-
-    def rows(node_, block_, cells, grams, lengths):
-        return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(block_, pa.int64()), pa.array(node_, pa.int64()), binary_rows(np.concatenate(grams), np.array(lengths))], ["cell", "block", "node", "grams"])
-
-    whole = nodes.select("node", "whole")
-    wanted = scratch.save(routes.join(whole, "node").select("doc", "node", "block", "cells", "whole"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    routed = texts.join(wanted, "doc").select("text", "node", "block", "cells", "whole").mapInArrow(sets, "cell long, block long, node long, grams binary")
+                for i, k in enumerate(ordered_sets(raw, offsets, n, rarity.value), lo):
+                    if len(k) and signed(np.array([xxhash.xxh64_intdigest(k.tobytes(), seed=7)], np.uint64))[0] == whole[i]:
+                        at.append(i)
+                        grams.append(k)
+                        held += len(k) * int(many[i])
+                if held > 1 << 20:
+                    yield rows(b, at, grams, many, ends, flat)
+                    at, grams, held = [], [], 0
+            if at:
+                yield rows(b, at, grams, many, ends, flat)
+
+    def rows(b, at, grams, many, ends, flat):
+        row = np.repeat(at, many[at])
+        take = pa.array(row)
+        cells = np.concatenate([flat[ends[i] - many[i] : ends[i]] for i in at])
+        repeated = [g for g, i in zip(grams, at) for _ in range(many[i])]
+        return pa.RecordBatch.from_arrays([pa.array(cells), b.column(2).take(take), b.column(1).take(take), b.column(3).take(take), binary_rows(np.concatenate(repeated), np.append(0, np.cumsum([len(g) for g in repeated])))], ["cell", "block", "node", "weight", "grams"])
+
+    rows_of = F.broadcast(wanted) if need["rows"] * 96 + (need["cells"] or 0) * 16 <= BROADCAST_BYTES else wanted
+    routed = texts.join(rows_of, (F.col("doc") == F.col("own_doc")) & (F.col("th") == F.col("own_th"))).select("text", "node", "block", "weight", "cells", "whole").mapInArrow(releasing(sets), "cell long, block long, node long, weight long, grams binary")
     similar = scratch.save(_verify(routed.repartition(parts, "cell").sortWithinPartitions("cell"), t))
-    scratch.drop(pairs, label)
-    return nodes.select("node", "size", "docs", *["members"] * members), similar
+    scratch.drop(wanted)
+    total = similar.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(similar.select(F.col("node").alias("a"), F.col("least").alias("b")), scratch)
+    links = total.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links")
+    return members.select("doc", "th", "node"), nodes.select("node", "doc", "weight"), links
 
 
 def jaccard_join(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents whose sets of word n-grams have Jaccard similarity t or more.
+    """(doc_id, class_id, links) by document: links is the number of other documents whose sets of word n-grams have Jaccard
+    similarity t or more with this one's, class_id the smallest id that a chain of such links leads to (its own without links).
 
-    Rows: (doc_ids, partner_ids, overlap, jaccard): every document of the first list pairs with every one of the second.
-    Documents with one and the same set are one row, in which both lists are that set's members; other rows join two
-    different sets, that of the smaller first id in front. So each similar pair of documents is in exactly one row.
-    A null or empty text has no grams and no partner; a null id gives no row; repeated rows of an id count once; ids that
-    have different texts count for each of these. Other columns are not read. An empty table gives an empty result.
+    A document without words (null, empty or white space) has class_id null and no links. A null id gives no row; repeated rows of
+    an id count once; an id that has different sets is a document for each of these. Ids that aren't numbers are compared as text.
+    Other columns are not read. Texts of any length count whole. An empty table gives an empty result.
     """
-    nodes, pairs = similar_nodes(docs, t, n, doc_id, text)
-    copies = nodes.where(F.size("docs") > 1).select(F.col("docs").alias("doc_ids"), F.col("docs").alias("partner_ids"), F.col("size").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    a = nodes.select(F.col("node").alias("a"), F.col("docs").alias("da"))
-    b = nodes.select(F.col("node").alias("b"), F.col("docs").alias("db"))
-    first = F.col("da") < F.col("db")
-    joined = (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .select(F.when(first, F.col("da")).otherwise(F.col("db")).alias("doc_ids"), F.when(first, F.col("db")).otherwise(F.col("da")).alias("partner_ids"), "overlap", F.round(F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")), 6).alias("jaccard"))
-    )
-    return copies.unionByName(joined)
+    members, nodes, links = similar_nodes(docs, t, n, doc_id, text)
+    named = links.join(nodes, "node").select("node", "links", "root", "doc")
+    least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
+    found = named.join(least, "root").select("node", "links", "class_id")
+    by_node = nodes.join(found, "node", "left").select("node", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    out = members.select("doc", "node").distinct().join(by_node, "node").select("doc", "class_id", "links")
+    own = docs.select(number_of(docs, doc_id).alias("doc"), F.col(doc_id).alias("doc_id"), has_words(F.col(text)).alias("has")).where("doc is not null")
+    none = own.where("not has").select("doc_id").distinct().select("doc_id", F.lit(None).cast(docs.schema[doc_id].dataType).alias("class_id"), F.lit(0).cast("long").alias("links"))
+    if is_number(docs, doc_id):
+        kind = docs.schema[doc_id].dataType
+        return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"), "links").unionByName(none)
+    names = own.select("doc", "doc_id").distinct()
+    out = out.join(names, "doc").join(names.select(F.col("doc").alias("class_id"), F.col("doc_id").alias("name")), "class_id")
+    return out.select("doc_id", F.col("name").alias("class_id"), "links").unionByName(none)
+
+
+def has_words(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]", "")) > 0
+
+
+def is_number(docs: DataFrame, column: str) -> bool:
+    from pyspark.sql.types import IntegralType
+
+    return isinstance(docs.schema[column].dataType, IntegralType)
 
 
-def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that pairs lead to, for nodes in a pair; stars are contracted until nothing changes."""
-    scratch = Scratch(nodes.sparkSession, "components")
-    edges = scratch.save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): the smallest node that pairs (a, b) lead to, for nodes in a pair; stars are contracted until nothing changes."""
+    edges = scratch.save(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # large star: neighbours that are greater join the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -381,20 +462,20 @@ def one_of_each(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_
     """docs with one document of each group of similar ones: that of the smallest id in the connected component.
 
     An id that has different texts is a document for each; of these the one of the least hash counts as the smallest.
-    Rows without an id or without words stay. Of repeated rows (same id and text) that have words one stays.
+    Rows without an id or without words stay. Of repeated rows (same id and text) that have words one stays. Ids that aren't
+    numbers are in the order of a hash. An empty table stays empty.
     """
-    nodes, pairs = similar_nodes(docs, t, n, doc_id, text, members=True)
+    members, _, links = similar_nodes(docs, t, n, doc_id, text)
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    roots = components(nodes, pairs)
-    member = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.explode("members").alias("doc"))
+    member = members.join(links.select("node", "root"), "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("doc", "th").alias("doc"))
     least = member.groupBy("root").agg(F.min("doc").alias("keep"), F.count("*").alias("n")).where("n > 1")
     lost = scratch.save(member.join(least, "root").where("doc != keep").select(F.col("doc.doc").alias("lost_doc"), F.col("doc.th").alias("lost_th")).distinct())
-    key = F.col(doc_id).cast("long")
+    key = number_of(docs, doc_id)
     kept = docs.join(lost, (key == lost["lost_doc"]) & (F.xxhash64(text) == lost["lost_th"]), "left_anti")
     twice = docs.groupBy(key.alias("twice_doc")).agg(F.count("*").alias("n")).where("n > 1 and twice_doc is not null").select("twice_doc")
     twice = scratch.save(twice)
     if twice.isEmpty():
         return kept
     again = kept.join(twice, key == twice["twice_doc"], "left_semi")
-    has = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]", "")) > 0
+    has = has_words(F.col(text))
     return kept.join(twice, key == twice["twice_doc"], "left_anti").unionByName(again.where(~has)).unionByName(again.where(has).dropDuplicates([doc_id, text]))

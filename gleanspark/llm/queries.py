@@ -75,15 +75,18 @@ _WORDS = r"regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": f"""
-        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
         g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS grams FROM w WHERE len(w) > 0),
-        s AS (SELECT list_sort(list_distinct(list(doc_id))) AS docs, grams, len(grams) AS n FROM g GROUP BY grams),
-        u AS (SELECT docs, n, unnest(grams) AS gram FROM s)
-        SELECT docs AS doc_ids, docs AS partner_ids, n::BIGINT AS overlap, 1.0::DOUBLE AS jaccard FROM s WHERE len(docs) > 1
-        UNION ALL
-        SELECT a.docs, b.docs, count(*), round(count(*) / (a.n + b.n - count(*)), 6)
-        FROM u a JOIN u b ON a.gram = b.gram AND a.docs < b.docs
-        GROUP BY a.docs, b.docs, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9""",
+        s AS (SELECT min(doc_id) AS node, count(DISTINCT doc_id) AS weight, grams, len(grams) AS n FROM g GROUP BY grams),
+        u AS (SELECT node, n, unnest(grams) AS gram FROM s),
+        p AS (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.gram = b.gram AND a.node <> b.node
+              GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-6),
+        r AS (SELECT node AS x, node AS y FROM s UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+        c AS (SELECT x AS node, min(y) AS class_id FROM r GROUP BY x),
+        l AS (SELECT p.a AS node, sum(s.weight) AS links FROM p JOIN s ON s.node = p.b GROUP BY p.a)
+        SELECT DISTINCT g.doc_id, c.class_id, (s.weight - 1 + coalesce(l.links, 0))::BIGINT AS links
+        FROM g JOIN s ON s.grams = g.grams JOIN c ON c.node = s.node LEFT JOIN l ON l.node = s.node
+        UNION ALL SELECT DISTINCT doc_id, NULL::BIGINT, 0::BIGINT FROM documents WHERE doc_id IS NOT NULL AND NOT regexp_matches(coalesce(text, ''), '[^ \t\n\x0B\f\r]')""",
     "op3_suffix_array_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         p AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50)),

@@ -48,11 +48,83 @@ def test_repeats(docs, none):
 
 
 def test_jaccard(docs, none):
-    assert [(tuple(a), tuple(b), j) for a, b, _, j in rows(jaccard_join.jaccard_join(docs))] == [((1, 2), (1, 2), 1.0)]
-    assert jaccard_join.jaccard_join(none).count() == 0
+    assert rows(jaccard_join.jaccard_join(docs)) == sorted([(1, 1, 1), (2, 1, 1), (3, None, 0), (4, None, 0), (5, 5, 0)], key=repr)
+    assert jaccard_join.jaccard_join(none).count() == 0 and jaccard_join.one_of_each(none).count() == 0
     assert sorted(r.doc_id or 0 for r in jaccard_join.one_of_each(docs).collect()) == [0, 1, 3, 4, 5]
 
 
+def near_copies(seed, groups=12, alone=60):
+    """Texts with near and exact copies, a passage that many share, empty ones, and a very long one."""
+    import random
+
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [r.choice(words) for _ in range(40)]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 120))) for _ in range(alone)]
+    for _ in range(groups):
+        base = r.choices(words, k=r.randint(30, 150))
+        for _ in range(r.randint(2, 14)):
+            own = base[:]
+            for _ in range(r.randint(0, len(base) // 6)):
+                own[r.randrange(len(own))] = r.choice(words)
+            texts.append(" ".join(own))
+    texts += [" ".join(passage + r.choices(words, k=90)) for _ in range(25)] + [texts[3], texts[3], "", " \n", None, "one", "one", " ".join(r.choices(words, k=30000))]
+    r.shuffle(texts)
+    return texts
+
+
+def brute_force_classes(texts, t=0.7):
+    sets = []
+    for x in texts:
+        w = (x or "").split()
+        sets.append(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w))
+    root, links = list(range(len(sets))), [0] * len(sets)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) >= t * max(len(a), len(b)) - 1e-9 and len(a & b) >= t * len(a | b) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if k == high else k for k in root]
+    return sorted([(i, root[i] if s else None, links[i]) for i, s in enumerate(sets)], key=repr)
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_jaccard_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", block * 1000)
+    texts = near_copies(block)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_force_classes(texts)
+    assert rows(jaccard_join.jaccard_join(d)) == want
+    assert {r.doc_id for r in jaccard_join.one_of_each(d).collect()} == {i for i, c, _ in want if c in (i, None)}
+    named = jaccard_join.jaccard_join(d.selectExpr("concat('d', doc_id) as doc_id", "text")).collect()
+    assert sorted((int(r.doc_id[1:]), r.links) for r in named) == sorted((i, n) for i, _, n in want)
+    classes = {}
+    for r in named:
+        classes.setdefault(r.class_id, set()).add(int(r.doc_id[1:]))
+    assert sorted(map(sorted, (v for k, v in classes.items() if k))) == sorted(sorted(i for i, c, _ in want if c == k) for k in {c for _, c, _ in want} - {None})
+
+
+def test_pairs_of_lists_in_small_steps():
+    rng = np.random.default_rng(5)
+    gram, grp = rng.integers(0, 5, 400).astype(np.uint32), (rng.integers(0, 6, 400) << 32 | 1000 << 20 | rng.integers(0, 9, 400)).astype(np.int64)
+    want = {}
+    for g in range(5):
+        own = sorted(set(grp[gram == g].tolist()))
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if a >> 32 != b >> 32:
+                    want[a, b] = want.get((a, b), 0) + 1
+    for most in (1, 7, 1 << 20):
+        got = {}
+        for a, b, n in jaccard_join._pairs_of_lists(gram, grp, 0.7, most):
+            for k in zip(a.tolist(), b.tolist(), n.tolist()):
+                got[k[:2]] = got.get(k[:2], 0) + k[2]
+        assert got == want
+
+
 def test_metric_join_against_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 8))
