@@ -9,8 +9,9 @@ similarity t or more share a gram among the first n - ceil(t n) + 1 of each (n:
 3. groups' prefixes go to partitions by gram. Groups of one label are near copies as a rule and are not paired here; for groups
    of different labels that meet and pass the length filter the shared grams of their prefixes are counted. What a set has
    beyond its prefix is known, so the count bounds the overlap; a pair whose bound is too low goes;
-4. nodes (distinct sets) of a label form blocks. Each two blocks of one label are a cell, and so are two blocks of different
-   labels with a candidate pair; a node's whole set is sent once to each of its cells;
+4. labels join the smallest label that a candidate pair links them to; nodes (distinct sets) of a joint label form blocks. Each
+   two blocks of one joint label are a cell, and so are two blocks of different ones with a candidate pair; a node's whole set
+   is sent once to each of its cells;
 5. a cell verifies all its pairs by exact overlaps and returns, by node, how many documents are similar and a link to the
    smallest node of its component in the cell: rows grow with nodes, not with pairs.
 
@@ -344,24 +345,29 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     texts = docs.select(number_of(docs, doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
     members = scratch.save(_signatures(texts, n, t, rarity).select("doc", "th", F.xxhash64("grp", "whole", "size").alias("node"), "grp", "whole", "size").distinct())
     nodes = members.groupBy("node", "grp", "whole").agg(F.count_distinct("doc").alias("weight"), F.min(F.struct("doc", "th")).alias("first"))
-    label = F.shiftright("grp", 32)
-    labels = nodes.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-    nodes = nodes.withColumn("label", label).join(labels, "label").withColumn("subs", F.ceil(F.col("n") / BLOCK)).withColumn("sub", F.pmod(F.xxhash64("node"), "subs"))
-    nodes = scratch.save(nodes.select("node", "grp", "whole", "weight", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), "label", "n", "subs", "sub", F.xxhash64("label", "sub").alias("block")))
-
+    nodes = scratch.save(nodes.select("node", "grp", "whole", "weight", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.shiftright("grp", 32).alias("label")))
     gram_parts = -(-parts // 4)  # of some millions of postings each
-    found = _candidates(_postings(texts, n, t, rarity, gram_parts).repartitionById(gram_parts, F.col("part")), t)
-    small = nodes.select("grp", "node", "block")
+    found = scratch.save(_candidates(_postings(texts, n, t, rarity, gram_parts).repartitionById(gram_parts, F.col("part")), t))
+    # labels join the smallest label that a candidate pair links them to, so near copies under several labels share blocks
+    ends = found.select(F.shiftright("ga", 32).alias("x"), F.shiftright("gb", 32).alias("y"))
+    near = ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("label")).agg(F.min("y").alias("other"))
+    merged = scratch.save(nodes.select("node", "label").join(near, "label", "left").select("node", F.least("label", F.coalesce("other", "label")).alias("joint")))
+    joints = merged.groupBy("joint").agg(F.count("*").alias("n")).where("n > 1").withColumn("subs", F.ceil(F.col("n") / BLOCK))
+    blocks = merged.join(joints, "joint", "left").select("node", "joint", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("subs", F.lit(1)).alias("subs"))
+    blocks = blocks.withColumn("sub", F.pmod(F.xxhash64("node"), "subs")).withColumn("block", F.xxhash64("joint", "sub"))
+    nodes = scratch.save(nodes.join(blocks, "node").select("node", "grp", "whole", "weight", "doc", "th", "joint", "n", "subs", "sub", "block"))
+    small = nodes.select("grp", "node", "block", "joint")
     crossing = (
-        found.join(small.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("block").alias("ka")), "ga")
-        .join(small.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("block").alias("kb")), "gb")
-        .select("a", "ka", "b", "kb", F.xxhash64(F.least("ka", "kb"), F.greatest("ka", "kb")).alias("cell"))
+        found.join(small.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("block").alias("ka"), F.col("joint").alias("ja")), "ga")
+        .join(small.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("block").alias("kb"), F.col("joint").alias("jb")), "gb")
+        .where("ja != jb")
+        .select("a", "b", F.xxhash64(F.least("ka", "kb"), F.greatest("ka", "kb")).alias("cell"))
         .select(F.explode(F.array(F.struct(F.col("a").alias("node"), "cell"), F.struct(F.col("b").alias("node"), "cell"))).alias("r"))
         .select("r.node", "r.cell")
         .distinct()
     )
     with_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
-    inner = nodes.where("n > 1").select("node", "label", "sub", with_.alias("other")).select("node", F.xxhash64("label", F.least("sub", "other"), F.greatest("sub", "other")).alias("cell"))
+    inner = nodes.where("n > 1").select("node", "joint", "sub", with_.alias("other")).select("node", F.xxhash64("joint", F.least("sub", "other"), F.greatest("sub", "other")).alias("cell"))
     # a node's cells as one list: as many as its block has blocks with a candidate
     routes = crossing.unionByName(inner).groupBy("node").agg(F.collect_list("cell").alias("cells"))
     wanted = scratch.save(routes.join(nodes.select("node", "block", "weight", "whole", F.col("doc").alias("own_doc"), F.col("th").alias("own_th")), "node"))
@@ -397,7 +403,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     rows_of = F.broadcast(wanted) if need["rows"] * 96 + (need["cells"] or 0) * 16 <= BROADCAST_BYTES else wanted
     routed = texts.join(rows_of, (F.col("doc") == F.col("own_doc")) & (F.col("th") == F.col("own_th"))).select("text", "node", "block", "weight", "cells", "whole").mapInArrow(releasing(sets), "cell long, block long, node long, weight long, grams binary")
     similar = scratch.save(_verify(routed.repartition(parts, "cell").sortWithinPartitions("cell"), t))
-    scratch.drop(wanted)
+    scratch.drop(wanted, found, merged)
     total = similar.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(similar.select(F.col("node").alias("a"), F.col("least").alias("b")), scratch)
     links = total.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links")
