@@ -11,7 +11,9 @@ similarity t or more share a gram among the first n - ceil(t n) + 1 of each (n:
    beyond its prefix is known, so the count bounds the overlap; a pair whose bound is too low goes;
 4. labels join the smallest label that a candidate pair links them to; nodes (distinct sets) of a joint label form blocks. Each
    two blocks of one joint label are a cell, and so are two blocks of different ones with a candidate pair; a node's whole set
-   is sent once to each of its cells;
+   is sent once to each of its cells.
+   But first only bits go there, one a gram, whose differences bound those of the sets: nodes that can't be similar to any other
+   of the cell stay away;
 5. a cell verifies all its pairs by exact overlaps and returns, by node, how many documents are similar and a link to the
    smallest node of its component in the cell: rows grow with nodes, not with pairs.
 
@@ -45,6 +47,7 @@ BLOCK = 1024
 STEP = 1.005
 _LOW54 = np.uint64((1 << 54) - 1)
 _LABEL = np.uint64(0x5851F42D4C957F2D)
+_SLOT = np.uint64(0x14057B7EF767814F)
 
 
 @dataclass
@@ -121,12 +124,73 @@ def group_of(prefix: np.ndarray, size: int) -> int:
     return label << 32 | min(4095, int(np.log(size) / np.log(STEP) + 1e-9)) << 20 | xxhash.xxh64_intdigest(prefix.tobytes(), seed=size) & 0xFFFFF
 
 
+def parity_bits(keys: np.ndarray) -> bytes:
+    """By slot of a hash, whether an odd number of keys falls there; slots are a power of two, one a key or more.
+
+    Two sets differ in at least as many keys as their bits differ, also after the longer one's halves are combined by exclusive or.
+    """
+    slots = max(64, 1 << int(len(keys) - 1).bit_length())
+    at = (mix(keys ^ _SLOT) & np.uint64(slots - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(bits: list[bytes], size: np.ndarray, left: np.ndarray, right: np.ndarray, t: float) -> np.ndarray:
+    """Whether each left set can have similarity t with each right one, by sizes and parity bits."""
+    a, b = size[left][:, None], size[right][None]
+    ok = np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9
+    limit = (a + b) * (1 - t) / (1 + t) + 1e-6
+    width = np.array([len(x) for x in bits])
+    for w in np.unique(width):
+        i, j = np.flatnonzero(width[left] >= w), np.flatnonzero(width[right] >= w)
+        own = np.minimum(width[left[i]][:, None], width[right[j]][None]) == w
+        if not (own & ok[np.ix_(i, j)]).any():
+            continue
+        x, y = (np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint8).reshape(-1, w), axis=0) for k in side]) for side in (left[i], right[j]))
+        differ = np.zeros((len(i), len(j)), np.float32)
+        for c in range(0, int(w), 512):
+            u, v = (np.unpackbits(z[:, c : c + 512], axis=1).astype(np.float32) for z in (x, y))
+            differ += u.sum(axis=1)[:, None] + v.sum(axis=1)[None] - 2 * (u @ v.T)
+        ok[np.ix_(i, j)] &= ~own | (differ <= limit[np.ix_(i, j)])
+    return ok
+
+
+def _surviving(routes: DataFrame, t: float) -> DataFrame:
+    """(node, cell) of those rows (cell, block, node, size, bits) whose set may be similar to another of its cell."""
+
+    def run(batches):
+        for table in key_runs(batches, "cell"):
+            table = table.combine_chunks()
+            cell, block, node, size = (table.column(c).to_numpy() for c in ("cell", "block", "node", "size"))
+            bits = table.column("bits")
+            cuts = [*np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell)]
+            keep = np.zeros(len(cell), bool)
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi - lo < 2:
+                    continue
+                own = [x.as_py() for x in bits[lo:hi]]
+                left = np.flatnonzero(block[lo:hi] == block[lo])
+                right = np.flatnonzero(block[lo:hi] != block[lo])
+                if len(right):
+                    ok = may_be_similar(own, size[lo:hi].astype(np.float64), left, right, t)
+                else:
+                    right = left
+                    ok = may_be_similar(own, size[lo:hi].astype(np.float64), left, left, t)
+                    np.fill_diagonal(ok, False)
+                keep[lo + left] |= ok.any(axis=1)
+                keep[lo + right] |= ok.any(axis=0)
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(cell[at])], ["node", "cell"])
+
+    return routes.mapInArrow(releasing(run), "node long, cell long")
+
+
 def _signatures(docs: DataFrame, n: int, t: float, rarity) -> DataFrame:
-    """By document with words: group, hash and size of its set, hash of the text."""
+    """By document with words: group, hash, size and parity bits of its set, hash of the text."""
 
     def run(batches):
         for b in batches:
-            at, group, whole, size = [], [], [], []
+            at, group, whole, size, bits = [], [], [], [], []
             for lo, _, raw, offsets in steps(b.column(2)):
                 for i, k in enumerate(ordered_sets(raw, offsets, n, rarity.value), lo):
                     if len(k):
@@ -134,11 +198,12 @@ def _signatures(docs: DataFrame, n: int, t: float, rarity) -> DataFrame:
                         group.append(group_of(k[: prefix_length(len(k), t)], len(k)))
                         whole.append(xxhash.xxh64_intdigest(k.tobytes(), seed=7))
                         size.append(len(k))
+                        bits.append(parity_bits(k))
             if at:
                 rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32())], ["doc", "th", "grp", "whole", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(signed(np.array(group, np.uint64))), pa.array(signed(np.array(whole, np.uint64))), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["doc", "th", "grp", "whole", "size", "bits"])
 
-    return docs.mapInArrow(releasing(run), "doc long, th long, grp long, whole long, size int")
+    return docs.mapInArrow(releasing(run), "doc long, th long, grp long, whole long, size int, bits binary")
 
 
 def _postings(docs: DataFrame, n: int, t: float, rarity, parts: int) -> DataFrame:
@@ -343,9 +408,9 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     scratch = Scratch(spark, "jaccard")
     rarity = spark.sparkContext.broadcast(rarity_classes(docs, text, n))
     texts = docs.select(number_of(docs, doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    members = scratch.save(_signatures(texts, n, t, rarity).select("doc", "th", F.xxhash64("grp", "whole", "size").alias("node"), "grp", "whole", "size").distinct())
-    nodes = members.groupBy("node", "grp", "whole").agg(F.count_distinct("doc").alias("weight"), F.min(F.struct("doc", "th")).alias("first"))
-    nodes = scratch.save(nodes.select("node", "grp", "whole", "weight", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.shiftright("grp", 32).alias("label")))
+    members = scratch.save(_signatures(texts, n, t, rarity).select("doc", "th", F.xxhash64("grp", "whole", "size").alias("node"), "grp", "whole", "size", "bits").distinct())
+    nodes = members.groupBy("node", "grp", "whole", "size").agg(F.min("bits").alias("bits"), F.count_distinct("doc").alias("weight"), F.min(F.struct("doc", "th")).alias("first"))
+    nodes = scratch.save(nodes.select("node", "grp", "whole", "size", "bits", "weight", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.shiftright("grp", 32).alias("label")))
     gram_parts = -(-parts // 4)  # of some millions of postings each
     found = scratch.save(_candidates(_postings(texts, n, t, rarity, gram_parts).repartitionById(gram_parts, F.col("part")), t))
     # labels join the smallest label that a candidate pair links them to, so near copies under several labels share blocks
@@ -355,7 +420,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     joints = merged.groupBy("joint").agg(F.count("*").alias("n")).where("n > 1").withColumn("subs", F.ceil(F.col("n") / BLOCK))
     blocks = merged.join(joints, "joint", "left").select("node", "joint", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("subs", F.lit(1)).alias("subs"))
     blocks = blocks.withColumn("sub", F.pmod(F.xxhash64("node"), "subs")).withColumn("block", F.xxhash64("joint", "sub"))
-    nodes = scratch.save(nodes.join(blocks, "node").select("node", "grp", "whole", "weight", "doc", "th", "joint", "n", "subs", "sub", "block"))
+    nodes = scratch.save(nodes.join(blocks, "node").select("node", "grp", "whole", "size", "bits", "weight", "doc", "th", "joint", "n", "subs", "sub", "block"))
     small = nodes.select("grp", "node", "block", "joint")
     crossing = (
         found.join(small.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("block").alias("ka"), F.col("joint").alias("ja")), "ga")
@@ -369,7 +434,8 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     with_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
     inner = nodes.where("n > 1").select("node", "joint", "sub", with_.alias("other")).select("node", F.xxhash64("joint", F.least("sub", "other"), F.greatest("sub", "other")).alias("cell"))
     # a node's cells as one list: as many as its block has blocks with a candidate
-    routes = crossing.unionByName(inner).groupBy("node").agg(F.collect_list("cell").alias("cells"))
+    routes = crossing.unionByName(inner).join(nodes.select("node", "block", "size", "bits"), "node").select("cell", "block", "node", "size", "bits")
+    routes = _surviving(routes.repartition(parts, "cell").sortWithinPartitions("cell"), t).groupBy("node").agg(F.collect_list("cell").alias("cells"))
     wanted = scratch.save(routes.join(nodes.select("node", "block", "weight", "whole", F.col("doc").alias("own_doc"), F.col("th").alias("own_th")), "node"))
     need = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells")).first()
 

@@ -107,6 +107,24 @@ def test_jaccard_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(sorted, (v for k, v in classes.items() if k))) == sorted(sorted(i for i, c, _ in want if c == k) for k in {c for _, c, _ in want} - {None})
 
 
+def test_parity_bits_never_lose_a_similar_pair():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (3, 40, 63, 64, 65, 120, 500, 700, 1500):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.17, 0.2, 0.5):
+            k = base.copy()
+            k[: int(share * n)] = rng.integers(0, 2**63, int(share * n)).astype(np.uint64)
+            sets.append(np.unique(k))
+    every, size = np.arange(len(sets)), np.array([len(x) for x in sets], float)
+    ok = jaccard_join.may_be_similar([jaccard_join.parity_bits(x) for x in sets], size, every, every, 0.7)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            assert ok[i, j] or both < 0.7 * (len(a) + len(b) - both)
+    assert ok.sum() < 0.5 * ok.size
+
+
 def test_pairs_of_lists_in_small_steps():
     rng = np.random.default_rng(5)
     gram, grp = rng.integers(0, 5, 400).astype(np.uint32), (rng.integers(0, 6, 400) << 32 | 1000 << 20 | rng.integers(0, 9, 400)).astype(np.int64)
