@@ -96,7 +96,9 @@ ORACLE_SQL: dict[str, str] = {
         i AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, again ORDER BY s) AS island FROM c)
         SELECT doc_id, min(s)::BIGINT AS begin, (max(s) + 50)::BIGINT AS "end", again FROM i GROUP BY doc_id, again, island""",
     "op9_embedding_near_dedup": """
-        WITH d AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS x
-                   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-        SELECT vec_a, vec_b, round(min(x), 6) AS distance FROM d WHERE x <= 0.45 GROUP BY vec_a, vec_b""",
+        WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
+              WHERE sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) <= 0.45),
+        r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+        l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+        SELECT x AS vec_id, min(y) AS class_id, coalesce(max(l.links), 0)::BIGINT AS links FROM r LEFT JOIN l ON l.a = r.x GROUP BY x""",
 }
