@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Bytes of text that one vectorised step takes (a longer document is one step of its own).
 STEP_BYTES = 1 << 19
@@ -73,11 +74,13 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return task
 
 
+def is_number(docs: DataFrame, doc_id: str) -> bool:
+    return isinstance(docs.schema[doc_id].dataType, IntegralType)
+
+
 def number_of(docs: DataFrame, doc_id: str) -> Column:
     """An id as a long: itself where it is an integer, else a hash of its text; null for null."""
-    from pyspark.sql.types import IntegralType
-
-    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+    if is_number(docs, doc_id):
         return F.col(doc_id).cast("long")
     return F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string")))
 

@@ -378,6 +378,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     A null text has null in all four; an empty one has no tokens. Repeated rows and null ids are encoded like any other.
     Other columns are not read. Texts of any length are encoded whole; only distinct chunks cost more than a look-up.
+    An empty table gives an empty result.
     """
     lines = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()

@@ -160,7 +160,8 @@ def _all_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """The field's weights, from about ``sample`` labelled documents: as many of each quality, those first by hash of the id."""
+    """The field's weights, from about ``sample`` labelled documents: as many of each quality, those first by hash of the id; of an id's
+    several rows the least text."""
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     many = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = usable.where(F.coalesce(*[F.when(F.col("quality") == q, share_first(sample // 2, n, F.col("doc_id"))) for q, n in many.items()], F.lit(False))).select(F.col("doc_id").alias("label_of"), F.col("quality").alias("y"))
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lines), pa.array([x[e - n : e].tobytes() for e, n in zip(ends, lines)], pa.binary())], ["y", "lines", "x"])
 
     # the sample is bounded by a parameter, so it may be broadcast whatever the corpus is
-    rows = docs.select(F.col(doc_id).cast("long").alias("label_of"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_of").select("text", F.col("y").cast("int").alias("y")).mapInArrow(features, "y int, lines bigint, x binary").where("lines > 0").collect()
+    rows = docs.select(F.col(doc_id).alias("label_of"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_of").groupBy("label_of").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y").mapInArrow(features, "y int, lines bigint, x binary").where("lines > 0").collect()
     rows.sort(key=lambda r: (r["y"], r["lines"], bytes(r["x"])))
     if len({r["y"] for r in rows}) < 2:
         return np.zeros(3 * FEATURES), np.zeros((2, 2))
@@ -203,13 +204,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     A text that is null or has only blank lines has quality null and is kept: nothing speaks against it. Repeated rows and
     rows with a null id are scored like any other. Other columns are not read. Without labelled documents of both kinds every quality is 0.5.
-    Training takes about ``sample`` labelled documents; scoring takes all texts whole.
+    Training takes about ``sample`` labelled documents; scoring takes all texts whole, of any length. An empty table gives an empty result.
     """
     q = quality_column(F.col(text), train(docs, labels, doc_id, text, sample))
     return docs.select(F.col(doc_id).alias("doc_id"), q.alias("quality")).select("doc_id", "quality", F.coalesce(F.col("quality") >= threshold, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = 4000) -> DataFrame:
-    """docs without the rows whose quality is under the threshold; nulls and empty texts as in ``score_quality``."""
+    """docs without the rows whose quality is under the threshold; nulls, empty and repeated rows as in ``score_quality``; an empty table stays empty."""
     q = quality_column(F.col(text), train(docs, labels, doc_id, text, sample))
     return docs.where(F.coalesce(q >= threshold, F.lit(True)))

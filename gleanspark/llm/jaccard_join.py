@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
+from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, is_number, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -504,12 +504,6 @@ def has_words(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]", "")) > 0
 
 
-def is_number(docs: DataFrame, column: str) -> bool:
-    from pyspark.sql.types import IntegralType
-
-    return isinstance(docs.schema[column].dataType, IntegralType)
-
-
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node that pairs (a, b) lead to, for nodes in a pair; stars are contracted until nothing changes."""
     edges = scratch.save(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

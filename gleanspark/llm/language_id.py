@@ -152,7 +152,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h")).where("lang is not null and length(text) > 0")
     limits = _limits({r["lang"]: (r["n"], r["least"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}, sample)
     chosen = docs.sparkSession.createDataFrame(list(limits.items()), "label string, most long")
-    rows = labelled.join(F.broadcast(chosen), F.col("lang") == F.col("label")).where("h <= most").select("text", "lang").mapInArrow(features, "lang string, at binary, many binary").collect()
+    rows = labelled.join(F.broadcast(chosen), F.col("lang") == F.col("label")).where("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang").mapInArrow(features, "lang string, at binary, many binary").collect()
     rows.sort(key=lambda r: (hash_bytes(r["at"]), r["lang"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
@@ -198,7 +198,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """(doc_id, lang, predicted, confidence) for every row; lang is the given label.
 
     A null or empty text has predicted and confidence null. Rows with null ids and repeated rows are predicted like any other;
-    null labels don't train. Other columns are not read. Without any label predicted is null. Texts count whole.
+    null labels don't train. Other columns are not read. Without any label predicted is null. Texts count whole, of any length. Of equal
+    scores the first label in the alphabet wins. An empty table gives an empty result.
     """
     found = language_column(F.col(text), train(docs, doc_id, text, lang, sample))
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), found.alias("found")).select("doc_id", "lang", F.col("found.lang").alias("predicted"), F.col("found.confidence").alias("confidence"))

@@ -12,6 +12,7 @@ partition of their new size, and the round repeats until all documents are place
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,17 @@ from gleanspark.llm._shared import _WS, Scratch, mix, shuffle_partitions, steps
 
 DOC, GAP, PLACED = 0, 1, 2
 STATE = "kind int, size int, bin long, used int, doc_id {id}, piece int, part int, rank int"
+#: A bin's id: the round (0: before the first), the partition that opened it, its number there.
+TURN_BITS, PART_BITS, NUMBER_BITS = 10, 21, 32
 NAMES = ["kind", "size", "bin", "used", "doc_id", "piece", "part", "rank"]
 
 
+def first_bin(turn: int, part: int) -> int:
+    if turn >> TURN_BITS or part >> PART_BITS:
+        raise ValueError("more rounds or partitions than ids of bins have room for")
+    return (turn << PART_BITS | part) << NUMBER_BITS
+
+
 def word_count(text: Column) -> Column:
     """Runs of bytes other than ASCII white space; null for null."""
 
@@ -78,7 +87,7 @@ def _start(lengths: DataFrame, capacity: int, kind: str) -> DataFrame:
     """Pieces of documents: whole bins and documents of over half a bin placed, their gaps, and the rest."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 40
+        number = first_bin(0, TaskContext.get().partitionId())
         for b in batches:
             n = b.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             full, rest = n // capacity, n % capacity
@@ -173,9 +182,12 @@ def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
             what, size, bins, used, first = (t.column(c).to_numpy() for c in ("kind", "size", "bin", "used", "rank"))
             ids, piece = t.column("doc_id").combine_chunks(), t.column("piece").to_numpy()
             docs, gaps = np.flatnonzero(what == DOC), np.flatnonzero(what == GAP)
-            number = (turn << 56) + (p << 32)
-            room = [(int(size[i]), int(bins[i]), int(used[i])) for i in gaps]
-            room.sort()
+            number = first_bin(turn, p)
+            # gaps by size, of which there are at most as many as the capacity; equal ones in the order of bins
+            room: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for i in gaps[::-1].tolist():
+                room[int(size[i])].append((int(bins[i]), int(used[i])))
+            open_sizes = sorted(room)
             changed: list[tuple[int, int, int]] = []
             placed: list[tuple[int, int, int]] = []
             left: list[int] = []
@@ -183,9 +195,12 @@ def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
             quota = -(-int(size[docs[first[docs] == 1]].sum()) // capacity)
             for i in docs[::-1].tolist():
                 n = int(size[i])
-                at = bisect_left(room, (n, -1, -1))
-                if at < len(room):
-                    g, bin_, u = room.pop(at)
+                at = bisect_left(open_sizes, n)
+                if at < len(open_sizes):
+                    g = open_sizes[at]
+                    bin_, u = room[g].pop()
+                    if not room[g]:
+                        del open_sizes[at]
                 elif first[i] and quota:
                     g, bin_, u = capacity, number, 0
                     number += 1
@@ -196,7 +211,9 @@ def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
                 placed.append((i, bin_, u))
                 if g > n:
                     if g - n >= least:
-                        insort(room, (g - n, bin_, u + n))
+                        if not room[g - n]:
+                            insort(open_sizes, g - n)
+                        room[g - n].append((bin_, u + n))
                     else:
                         changed.append((g - n, bin_, u + n))
             left.reverse()
@@ -206,7 +223,7 @@ def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
             if placed:
                 k, bin_, u = np.array(placed, np.int64).T
                 yield _batch(np.full(len(k), PLACED), size[k], bin_, u, ids.take(pa.array(k)), piece[k], np.full(len(k), p), np.full(len(k), -1))
-            rest = np.array(room + changed, np.int64).reshape(-1, 3)
+            rest = np.array([(g, *x) for g in open_sizes for x in room[g]] + changed, np.int64).reshape(-1, 3)
             if len(rest):
                 z = np.zeros(len(rest))
                 yield _batch(z + GAP, rest[:, 0], rest[:, 1], rest[:, 2], pa.nulls(len(rest), ids.type), z, z + p, z - 1)
@@ -219,7 +236,8 @@ def pack(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: st
 
     Pieces are numbered from 0; all but the last of a document fill a bin. A document whose length is null, zero or less has one
     row with bin and position null and length 0. Repeated rows and rows with a null id are packed like any other. Other columns are not read.
-    No bin holds more than ``capacity``; pieces in a bin follow each other without holes. Ids of bins are unique, not dense.
+    No bin holds more than ``capacity``; pieces in a bin follow each other without holes. Ids of bins are unique, not dense. Texts of any
+    length count whole. Documents of one length are in the order of id and piece, equal gaps in that of bins. An empty table gives an empty result.
     """
     if capacity < 1:
         raise ValueError("capacity >= 1")

@@ -24,8 +24,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[[*b"0123456789"]] = True
 LEAST = 16
 BEFORE = 48
-_ASSIGN = re.compile(rb"(?i)(pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*$")
-_VALUE = re.compile(rb"\s*[\"']?([^\s\"'|,;<>]{6,256})")
+_ASSIGN = re.compile(rb"(?i)(pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential)s?[\"']?$")
+_VALUE = re.compile(rb"\s*[\"']?([^\s\"'|,;<>]{6,})")
 _KEY = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 
 WORDS = [w.encode() for w in """about access account action active admin after again agent all and any app archive article asset author back base before below best block blog board body book
@@ -72,7 +72,11 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     doc_end = lambda i: int(offsets[np.searchsorted(offsets, i, "right")])
     doc_begin = lambda i: int(offsets[np.searchsorted(offsets, i, "right") - 1])
     for i in np.flatnonzero((raw == 61) | (raw == 58)).tolist():
-        if _ASSIGN.search(data, max(doc_begin(i), i - 24), i):
+        a = doc_begin(i)
+        z = i
+        while z > a and data[z - 1] in b" \t\r\n\x0b\x0c":
+            z -= 1
+        if _ASSIGN.search(data, max(a, z - 16), z):
             m = _VALUE.match(data, i + 1, doc_end(i))
             if m:
                 found.append(m.span(1))
@@ -218,6 +222,10 @@ def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
     return grow(x, np.array([float(y) for *_, y in rows]))
 
 
+def _path(docs: DataFrame, path: str) -> Column:
+    return F.col(path).cast("string") if path in docs.columns else F.lit("")
+
+
 def _scan(texts: pa.Array, paths: pa.Array, forest: Forest, threshold: float):
     """By step: (first document, bytes, offsets, begin, end, score) of the findings that the forest accepts."""
     where = paths.to_pylist()
@@ -236,7 +244,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     """(doc_id, position, length, value_sha, score): a row for each secret, positions in bytes of the UTF-8 text.
 
     Values aren't returned, only their SHA-256. Null and empty texts have none; a null path is an empty one; repeated rows
-    give their findings each; rows with a null id give theirs under null. Other columns are not read.
+    give their findings each; rows with a null id give theirs under null. Candidates that overlap are one. Values and texts of any
+    length count whole. A table without a path column has empty paths; an empty table has no findings. Other columns are not read.
     """
     forest = train(findings)
 
@@ -256,7 +265,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4])], ["doc_id", "position", "length", "value_sha", "score"])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).alias("text"), F.col(path).cast("string").alias("path")).mapInArrow(run, f"doc_id {kind}, position bigint, length bigint, value_sha string, score double")
+    return docs.select(F.col(doc_id), F.col(text).alias("text"), _path(docs, path).alias("path")).mapInArrow(run, f"doc_id {kind}, position bigint, length bigint, value_sha string, score double")
 
 
 def redacted(text: Column, path: Column, forest: Forest, threshold: float = 0.5, mark: str = "[SECRET]") -> Column:
@@ -286,9 +295,10 @@ def redacted(text: Column, path: Column, forest: Forest, threshold: float = 0.5,
 def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", n_chars: str = "n_chars", threshold: float = 0.5, findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
     """docs with the secrets of their texts replaced by ``[SECRET]`` and ``n_chars``, where there is such a column, counted anew.
 
-    All rows and columns stay; null texts stay null and keep their n_chars.
+    All rows and columns stay, repeated ones too; null texts stay null and keep their n_chars, empty ones stay empty. A table without a
+    path column has empty paths; an empty table stays empty. Values of any length go whole.
     """
-    out = docs.withColumn(text, redacted(F.col(text), F.col(path).cast("string"), train(findings), threshold))
+    out = docs.withColumn(text, redacted(F.col(text), _path(docs, path), train(findings), threshold))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.coalesce(F.length(text).cast(docs.schema[n_chars].dataType), F.col(n_chars)))
     return out

@@ -22,31 +22,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bytes_of, fresh, gram_hashes, key_runs, mix, powers, shuffle_partitions, signed, spans, steps, word_hashes
+from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bytes_of, fresh, gram_hashes, key_runs, mix, is_number, number_of, powers, releasing, shuffle_partitions, signed, spans, steps, word_hashes
 
 K = 10
 #: Words that an index is built over at once, when several anchors' contexts share one.
 INDEX_WORDS = 1 << 20
 
 
-def anchors_of(h: np.ndarray, first: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of anchors among a step's words, their document); h: word hashes, first: each document's first word."""
+def anchors_of(h: np.ndarray, first: np.ndarray, least: int, k: int, span: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of anchors among a step's words, their document); h: word hashes, first: each document's first word.
+
+    Windows are taken ``span`` at a time, so that a position fits beside 40 bits of the hash whatever the text's length.
+    """
     w = least - k + 1
     g = gram_hashes(h, k)
-    n = len(g)
-    if n < w:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = np.uint64((1 << 24) - 1)
-    m = (g & ~low) | np.arange(n, dtype=np.uint64)
-    size = 1
-    while 2 * size <= w:
-        m = np.minimum(m[:-size], m[size:])
-        size *= 2
-    if size < w:
-        m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
+    if span + w > 1 << 24:
+        raise ValueError("windows of over eight million words")
     # windows inside one document only
     starts = spans(first[:-1], np.maximum(first[:-1], first[1:] - least + 1))
-    at = np.unique((m[starts] & low).astype(np.int64))
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(g) - w + 1, span):
+        own = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + span)] - lo
+        part = g[lo : lo + span + w - 1]
+        if not len(own):
+            continue
+        m = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= w:
+            m = np.minimum(m[:-size], m[size:])
+            size *= 2
+        if size < w:
+            m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
+        found.append(lo + np.unique((m[own] & low).astype(np.int64)))
+    at = np.unique(np.concatenate(found))
     return at, np.searchsorted(first, at, "right") - 1
 
 
@@ -67,11 +76,11 @@ def _occurrences(docs: DataFrame, least: int, k: int) -> DataFrame:
                 ctx = mix((total[at + after] - total[at - before]) * powers(len(h), _INVERSE)[at - before] + before.astype(np.uint64) * np.uint64(1 << 20) + after.astype(np.uint64))
                 rows = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(gram_hashes(h, k)[at])), pa.array(signed(ctx)), b.column(0).take(rows), b.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16))],
+                    [pa.array(signed(gram_hashes(h, k)[at])), pa.array(signed(ctx)), b.column(0).take(rows), b.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))],
                     ["anchor", "ctx", "doc", "th", "pos", "before", "after"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, ctx long, doc long, th long, pos int, before short, after short")
+    return docs.mapInArrow(releasing(run), "anchor long, ctx long, doc long, th long, pos int, before int, after int")
 
 
 def _shared(occurrences: DataFrame, parts: int, hot: int) -> DataFrame:
@@ -97,7 +106,7 @@ def _shared(occurrences: DataFrame, parts: int, hot: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[n][keep]) for n in ("anchor", "doc", "th", "pos", "before", "after")] + [pa.array(settled[keep].astype(np.int8)), pa.array(index[keep].astype(np.int8))], ["anchor", "doc", "th", "pos", "before", "after", "settled", "index"])
 
     rows = occurrences.repartition(parts, "anchor").sortWithinPartitions("anchor", "ctx", "doc", "th", "pos")
-    return rows.mapInArrow(run, "anchor long, doc long, th long, pos int, before short, after short, settled byte, index byte")
+    return rows.mapInArrow(releasing(run), "anchor long, doc long, th long, pos int, before int, after int, settled byte, index byte")
 
 
 class RunIndex:
@@ -208,7 +217,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, parts: int, least: int) -> DataFr
                 )
 
     once = docs.join(lists, ["doc", "th"]).select("doc", "th", "text", "at")
-    return once.mapInArrow(run, "anchor long, doc long, th long, start int, words binary, index byte")
+    return once.mapInArrow(releasing(run), "anchor long, doc long, th long, start int, words binary, index byte")
 
 
 def _cells(contexts: DataFrame, parts: int, least: int) -> DataFrame:
@@ -254,7 +263,7 @@ def _cells(contexts: DataFrame, parts: int, least: int) -> DataFrame:
             yield r
 
     rows = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "th", "start")
-    return rows.mapInArrow(run, "doc long, th long, begin int, end int, again boolean")
+    return rows.mapInArrow(releasing(run), "doc long, th long, begin int, end int, again boolean")
 
 
 def _hot(contexts: DataFrame, least: int) -> DataFrame:
@@ -271,7 +280,7 @@ def _hot(contexts: DataFrame, least: int) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(signed(gram_hashes(h, least)[at])), b.column(0).take(take), b.column(1).take(take), pa.array((b.column(2).to_numpy()[row] + at - offsets[row]).astype(np.int32))], ["window", "doc", "th", "begin"])
 
-    w = contexts.select("doc", "th", "start", "words").mapInArrow(run, "window long, doc long, th long, begin int")
+    w = contexts.select("doc", "th", "start", "words").mapInArrow(releasing(run), "window long, doc long, th long, begin int")
     place = F.struct("doc", "th", "begin")
     ends = w.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("window", "low")
     marks = w.join(ends, "window").select("doc", "th", "begin", (F.col("begin") + least).alias("end"), (place != F.col("low")).alias("again"))
@@ -294,7 +303,7 @@ def _united(marks: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(th[i]), pa.array(again[i]), pa.array(begin[i]), pa.array((z[last] - base[i]).astype(np.int32))], ["doc", "th", "again", "begin", "end"])
 
     rows = marks.repartition(parts, "doc").sortWithinPartitions("doc", "th", "again", "begin", "end")
-    return rows.mapInArrow(run, "doc long, th long, again boolean, begin int, end int")
+    return rows.mapInArrow(releasing(run), "doc long, th long, again boolean, begin int, end int")
 
 
 def _ranges(docs: DataFrame, least: int, k: int, hot: int, doc_id: str, text: str) -> DataFrame:
@@ -303,7 +312,7 @@ def _ranges(docs: DataFrame, least: int, k: int, hot: int, doc_id: str, text: st
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "repeats")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    texts = docs.select(number_of(docs, doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
     shared = scratch.save(_shared(_occurrences(texts, least, k), parts, hot))
     whole = shared.where("settled > 0 and before + after >= " + str(least)).select("doc", "th", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("end"), "settled")
     marks = whole.select("doc", "th", "begin", "end", F.lit(False).alias("again")).unionByName(whole.where("settled = 2").select("doc", "th", "begin", "end", F.lit(True).alias("again")))
@@ -322,8 +331,13 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = K, hot: int = 1
     again false: the windows occur elsewhere in the corpus (in another document or in this one). again true: those windows
     occur before, in a document of smaller id or earlier in this one; these ranges lie in those of again false. Ranges of a kind
     don't touch. A null or empty text, or one of fewer words, has no ranges, nor has a row without id; repeated rows (same id and
-    text) are one document, the same id with other texts others, in the order of a hash. Other columns are not read.
+    text) are one document, the same id with other texts others, in the order of a hash. An id that isn't a number counts as a hash
+    of it, in whose order documents come before each other, and is given back. Texts of any length count whole. An empty table gives
+    an empty result. Other columns are not read.
     """
+    if not is_number(docs, doc_id):
+        names = docs.select(number_of(docs, doc_id).alias("doc"), F.col(doc_id).alias("doc_id")).where("doc is not null").distinct()
+        return _ranges(docs, least, k, hot, doc_id, text).join(names, "doc").select("doc_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "again")
     return _ranges(docs, least, k, hot, doc_id, text).select(F.col("doc").alias("doc_id"), F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "again")
 
 
@@ -355,11 +369,12 @@ def _cut(text: Column, ranges: Column) -> Column:
 def remove_repeats(docs: DataFrame, least: int = 50, k: int = K, hot: int = 16384, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs whose texts lack the ranges that come again (the first occurrence stays), and without the rows of which no word is left.
 
-    ``n_chars``, where there is such a column, is counted anew for changed texts. Rows without id, without text or without repeats stay as they are.
+    ``n_chars``, where there is such a column, is counted anew for changed texts. Rows without id, without text or without repeats stay as they are;
+    repeated rows of a document stay and are cut alike. An empty table stays empty.
     """
     own, hash_, list_ = (fresh(n, docs.columns) for n in ("own_doc", "own_hash", "own_list"))
     cuts = _ranges(docs, least, k, hot, doc_id, text).where("again").groupBy(F.col("doc").alias(own), F.col("th").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(list_))
-    keyed = docs.withColumn(own, F.col(doc_id).cast("long")).withColumn(hash_, F.xxhash64(text))
+    keyed = docs.withColumn(own, number_of(docs, doc_id)).withColumn(hash_, F.xxhash64(text))
     joined = keyed.join(cuts, [own, hash_], "left").withColumn(text, _cut(F.col(text), F.col(list_)))
     joined = joined.where(F.col(list_).isNull() | (F.length(F.regexp_replace(F.col(text), r"[ \t\n\x0B\f\r]", "")) > 0))
     if n_chars in docs.columns:

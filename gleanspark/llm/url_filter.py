@@ -112,7 +112,7 @@ def url_score(url: Column, model: tuple[np.ndarray, float]) -> Column:
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """(page_id, url, score, blocked) for every row.
 
-    A null or empty URL has score null and isn't blocked. A string that isn't a URL is scored as a path. Repeated rows are scored alike. Only id and URL are read. ``labelled`` is a small table of (url, 0 or 1), by default the built-in one.
+    A null or empty URL has score null and isn't blocked. A string that isn't a URL is scored as a path. Repeated rows are scored alike, rows with a null id like any other. URLs of any length count whole. An empty table gives an empty result. Only id and URL are read. ``labelled`` is a small table of (url, 0 or 1), by default the built-in one.
     """
     s = url_score(F.col(url), train(labelled_urls() if labelled is None else labelled))
     return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), s.alias("score")).select("page_id", "url", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("blocked"))

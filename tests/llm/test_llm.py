@@ -143,15 +143,23 @@ def test_pairs_of_lists_in_small_steps():
         assert got == want
 
 
-def test_metric_join_against_brute_force(spark):
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_metric_join_against_brute_force(spark, kind):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 8))
     v[150:] = v[:150] + rng.normal(size=(150, 8)) * 0.05
-    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (900, None), (901, []), (902, [float("nan")] * 8), (7, v[7].tolist())]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
-    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 0.4)) if a < b}
-    assert {(r.vec_a, r.vec_b) for r in metric_join.range_join(df, 0.4, cell=40, block=15).collect()} == want
+    v[40:70] = v[40] + rng.normal(size=(30, 8)) * 0.1
+    v[90:95] = v[90]  # ties
+    v = v.astype(np.float32).astype(float)
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (900, None), (901, []), (902, [float("nan")] * 8), (7, v[7].tolist()), (903, [1.0, 2.0])]
+    df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as node", "2 as cell", "3 as id")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)) <= 0.4
+    root = jaccard_join.smallest_reached(300, *np.nonzero(d))
+    want = [(i, int(root[i]), int(d[i].sum()) - 1) for i in range(300)] + [(900, None, 0), (901, None, 0), (902, None, 0), (903, 903, 0)]
+    for cell, block in ((40, 15), (4096, 4096), (30, 4096), (4096, 50)):
+        assert rows(metric_join.range_join(df, 0.4, cell=cell, block=block)) == sorted(want, key=repr)
+    named = metric_join.range_join(df.selectExpr("concat('v', vec_id) as vec_id", "embedding"), 0.4).collect()
+    assert sorted((int(r.vec_id[1:]), r.links) for r in named) == sorted((i, n) for i, _, n in want)
     assert metric_join.range_join(df.limit(0), 0.4).count() == 0
 
 
