@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanspark.llm.bpe import VOCABULARY, encode
 from gleanspark.llm.crf_quality import score_quality
@@ -27,8 +28,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no media, so each page's whole text is made an animated GIF, which is decoded."""
-    return page_frames(table(spark, sf_dir, "pages"))
+    """The tables hold no media, so each page's whole text is made a GIF, a pixel a byte, which is decoded into frames.
+
+    Pixels are given as the SHA-256 of a frame's RGBA bytes; ``decode_gifs`` returns these bytes themselves.
+    """
+    return page_frames(table(spark, sf_dir, "pages")).withColumn("pixels", F.sha2("pixels", 256))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_gif_frames": """
+        WITH p AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) AS n FROM pages WHERE html <> ''),
+        f AS (SELECT page_id, h, n, unnest(range(0, (n + 4095) // 4096)) AS k FROM p),
+        r AS (SELECT *, least(4096, n - 4096 * k) AS m, least(64, (n + 63) // 64) AS rows FROM f),
+        b AS (SELECT page_id, k, i, ('0x' || substr(h, 2 * (4096 * k + i) + 1, 2))::INT AS v FROM (SELECT *, unnest(range(0, m)) AS i FROM r)),
+        c AS (SELECT page_id, k, CASE WHEN v = 0 THEN '00000000' ELSE printf('%02X%02X%02XFF', v, 7 * v % 256, 13 * v % 256) END AS rgba, i,
+                     CASE WHEN v > 0 THEN (v // 64) * 16 + (7 * v % 256 // 64) * 4 + 13 * v % 256 // 64 END AS bin FROM b),
+        g AS (SELECT page_id, k, string_agg(rgba, '' ORDER BY i) AS x, list(bin) FILTER (WHERE bin IS NOT NULL) AS bins FROM c GROUP BY page_id, k)
+        SELECT r.page_id AS media_id, r.k::INT AS frame, coalesce(list_sum(list_transform(range(0, r.k), lambda j: 10 * (2 + j % 5))), 0)::BIGINT AS start_ms, (10 * (2 + r.k % 5))::INT AS delay_ms, 64 AS width, r.rows::INT AS height,
+               sha256(unhex(x || repeat('00000000', (64 * r.rows - r.m)::INT))) AS pixels, list_transform(range(0, 64), lambda b: len(list_filter(bins, lambda y: y = b))::INT) AS histogram, NULL::VARCHAR AS error
+        FROM r JOIN g ON r.page_id = g.page_id AND r.k = g.k
+        UNION ALL SELECT page_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'no content' FROM pages WHERE coalesce(html, '') = ''""",
     "op6_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
         g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS grams FROM w WHERE len(w) > 0),

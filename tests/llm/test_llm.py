@@ -190,6 +190,82 @@ def test_gif(spark):
         assert gif.lzw_decode(gif.lzw_encode(px, least), least, 9000) == px
 
 
+def slow_frames(width, height, palette, frames):
+    """Frames by the rules, pixel by pixel, from what was encoded."""
+    canvas = [[(0, 0, 0, 0)] * width for _ in range(height)]
+    out, start = [], 0
+    for f in frames:
+        before = [r[:] for r in canvas]
+        colours = f.get("palette", palette)
+        px = f["pixels"].tolist()
+        for y, line in enumerate(px):
+            for x, v in enumerate(line):
+                yy, xx = y + f.get("top", 0), x + f.get("left", 0)
+                if yy < height and xx < width and v != f.get("transparent"):
+                    canvas[yy][xx] = (*map(int, colours[v]), 255)
+        out.append((f.get("disposal", 0), 10 * f.get("delay", 0), start, [r[:] for r in canvas]))
+        start += 10 * f.get("delay", 0)
+        if f.get("disposal") == 3:
+            canvas = before
+        elif f.get("disposal") == 2:
+            for y in range(len(px)):
+                for x in range(len(px[0])):
+                    yy, xx = y + f.get("top", 0), x + f.get("left", 0)
+                    if yy < height and xx < width:
+                        canvas[yy][xx] = (0, 0, 0, 0)
+    return out
+
+
+def test_gif_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        w, h, colours = int(rng.integers(1, 40)), int(rng.integers(1, 40)), int(rng.integers(2, 257))
+        palette = rng.integers(0, 256, (colours, 3))
+        frames = []
+        for _ in range(int(rng.integers(1, 6))):
+            own = rng.integers(0, 256, (8, 3)) if rng.random() < 0.3 else None
+            f = {"pixels": rng.integers(0, 8 if own is not None else colours, (int(rng.integers(1, h + 3)), int(rng.integers(1, w + 3)))), "left": int(rng.integers(0, w)), "top": int(rng.integers(0, h)), "delay": int(rng.integers(0, 65536)), "disposal": int(rng.integers(0, 4)), "interlaced": bool(rng.integers(0, 2))}
+            f |= {"transparent": int(rng.integers(0, 8))} if rng.random() < 0.6 and colours > 8 else {}
+            f |= {"palette": own} if own is not None else {}
+            frames.append(f)
+        got = list(gif.frames_of(gif.encode(w, h, palette, frames)))
+        assert [(a, b, c, [[tuple(p) for p in r] for r in d.tolist()]) for a, b, c, d in got] == slow_frames(w, h, palette, frames)
+    # a table of codes that fills and is cleared in mid-stream, many frames of long delays, wrong code sizes, a canvas without data
+    noise = rng.integers(0, 256, 40000).astype(np.uint8)
+    assert gif.lzw_decode(gif.lzw_encode(noise.tobytes(), 8), 8, 40000) == noise.tobytes()
+    dot = {"pixels": np.zeros((1, 1), int), "delay": 65535}
+    many = gif.encode(1, 1, np.array([[1, 2, 3], [4, 5, 6]]), [dot] * 3300)
+    wrong = bytearray(gif.encode(1, 1, np.array([[1, 2, 3], [4, 5, 6]]), [dot]))
+    wrong[wrong.index(b"\x2c") + 10] = 11
+    huge = b"GIF89a" + b"\xff\xff\xff\x1f" + b"\x80\0\0" + bytes(6) + b"\x2c" + bytes(4) + b"\xff\xff\xff\x1f\0" + b"\x02\x01\x04\0\x3b"
+    big = gif.encode(5000, 4000, np.array([[1, 2, 3], [4, 5, 6]]), [{"pixels": np.ones((2, 2), int)}])
+    df = spark.createDataFrame([(1, many, 0), (2, bytes(wrong), 0), (3, huge, 0), (4, big, 0), (4, big, 0), (None, None, 0)], "media_id long, content binary, frame int").coalesce(1)
+    out = gif.decode_gifs(df).selectExpr("media_id", "frame", "start_ms", "width", "error", "length(pixels) as n", "aggregate(histogram, 0, (a, x) -> a + x) as filled").collect()
+    assert max(r.start_ms for r in out if r.media_id == 1) == 3299 * 655350 > 2**31
+    assert [r.error for r in out if r.media_id == 2] == ["the code size is out of range"] and [r.error for r in out if r.media_id == 3] == ["the code stream ends too soon"]
+    assert [(r.width, r.n, r.filled) for r in out if r.media_id == 4] == [(5000, 5000 * 4000 * 4, 4)] * 2
+    assert [r.error for r in out if r.media_id is None] == ["no content"] and gif.decode_gifs(df.limit(0)).count() == 0
+
+
+def test_long_secrets_ids_and_positions(spark):
+    text = 'x password  = "' + "aB3$" * 200 + '" y'
+    d = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    assert secret_scan.redact_secrets(d).first().text == 'x password  = "[SECRET]" y'
+    assert [(r.doc_id, r.position, r.length) for r in secret_scan.find_secrets(d).collect()] == [("a", 15, 800)]
+    both = spark.createDataFrame([("a", LONG), ("b", LONG)], "doc_id string, text string")
+    found = rows(suffix_dedup.repeated_passages(both))
+    assert [r for r in found if not r[3]] == [("a", 0, 400, False), ("b", 0, 400, False)] and sum(r[3] for r in found) == 1
+    assert suffix_dedup.remove_repeats(both).count() == 1
+    h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
+    first = np.array([0, 700, 720, 3000])
+    want = suffix_dedup.anchors_of(h, first, 50, 10)
+    for span in (1, 37, 1000):
+        got = suffix_dedup.anchors_of(h, first, 50, 10, span)
+        assert all((a == b).all() for a, b in zip(want, got))
+    ids = {packing.first_bin(t, p) for t in (0, 1, 127, 128, 999) for p in (0, 65536, 2**21 - 1)}
+    assert len(ids) == 15 and max(ids) < 2**63
+
+
 def test_classifiers(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert crf_quality.score_quality(docs, labels).count() == len(ROWS) and crf_quality.keep_good(none, labels).count() == 0
