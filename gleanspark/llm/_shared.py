@@ -53,6 +53,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let an Arrow batch hold ``most`` bytes at most: JVM and Python hold a batch several times over. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "-1").rstrip("bB"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def release() -> None:
     """Hand memory that Arrow and the C library keep for later back to the system: a Python worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
@@ -74,6 +82,17 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return task
 
 
+def releasing_after(udf: Callable) -> Callable:
+    """udf, and ``release`` after each batch."""
+
+    def batch(*columns: pa.Array) -> pa.Array:
+        out = udf(*columns)
+        release()
+        return out
+
+    return batch
+
+
 def is_number(docs: DataFrame, doc_id: str) -> bool:
     return isinstance(docs.schema[doc_id].dataType, IntegralType)
 

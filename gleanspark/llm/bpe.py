@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import binary_rows, bytes_of, mix, powers, spans, steps
+from gleanspark.llm._shared import binary_rows, bounded_batches, bytes_of, mix, powers, spans, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -380,6 +380,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     Other columns are not read. Texts of any length are encoded whole; only distinct chunks cost more than a look-up.
     An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     lines = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 

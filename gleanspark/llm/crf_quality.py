@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import powers, share_first, steps
+from gleanspark.llm._shared import bounded_batches, powers, releasing, releasing_after, share_first, steps
 
 _CLASS = np.zeros((256, 7), np.uint8)  # letters, upper case, digits, white space, sentence marks, other symbols, word starts' helper
 for _b in range(256):
@@ -162,6 +162,7 @@ def _all_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """The field's weights, from about ``sample`` labelled documents: as many of each quality, those first by hash of the id; of an id's
     several rows the least text."""
+    bounded_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     many = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = usable.where(F.coalesce(*[F.when(F.col("quality") == q, share_first(sample // 2, n, F.col("doc_id"))) for q, n in many.items()], F.lit(False))).select(F.col("doc_id").alias("label_of"), F.col("quality").alias("y"))
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lines), pa.array([x[e - n : e].tobytes() for e, n in zip(ends, lines)], pa.binary())], ["y", "lines", "x"])
 
     # the sample is bounded by a parameter, so it may be broadcast whatever the corpus is
-    rows = docs.select(F.col(doc_id).alias("label_of"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_of").groupBy("label_of").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y").mapInArrow(features, "y int, lines bigint, x binary").where("lines > 0").collect()
+    rows = docs.select(F.col(doc_id).alias("label_of"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_of").groupBy("label_of").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y").mapInArrow(releasing(features), "y int, lines bigint, x binary").where("lines > 0").collect()
     rows.sort(key=lambda r: (r["y"], r["lines"], bytes(r["x"])))
     if len({r["y"] for r in rows}) < 2:
         return np.zeros(3 * FEATURES), np.zeros((2, 2))
@@ -187,7 +188,6 @@ def quality_column(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column
     """Length-weighted mean of the lines' marginals; null without a line that isn't blank."""
     w, trans = model
 
-    @arrow_udf("double")
     def quality(column: pa.Array) -> pa.Array:
         x, length, lines = _all_lines(column)
         good, _, _ = forward_backward(with_neighbours(x, lines) @ w, trans, lines)
@@ -196,7 +196,7 @@ def quality_column(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column
         score = np.bincount(doc, weights=good * length, minlength=len(lines)) / np.maximum(mass, 1)
         return pa.array(np.round(score, 6), mask=lines == 0)
 
-    return quality(text)
+    return arrow_udf(releasing_after(quality), "double")(text)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = 4000) -> DataFrame:

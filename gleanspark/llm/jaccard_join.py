@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, gram_hashes, is_number, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
+from gleanspark.llm._shared import Scratch, binary_rows, bounded_batches, bytes_of, gram_hashes, is_number, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -404,6 +404,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     if not 0 < t <= 1 or n < 1:
         raise ValueError("0 < t <= 1 and n >= 1")
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "jaccard")
     rarity = spark.sparkContext.broadcast(rarity_classes(docs, text, n))

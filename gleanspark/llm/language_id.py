@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import sum_arrays
+from gleanspark.llm._shared import bounded_batches, releasing, releasing_after, sum_arrays
 
 BITS = 14
 SLOTS = 1 << BITS
@@ -80,7 +80,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
             total[-1] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    found = sum_arrays(docs.select(F.col(text)).mapInArrow(run, "counts binary"), SLOTS + 1)
+    found = sum_arrays(docs.select(F.col(text)).mapInArrow(releasing(run), "counts binary"), SLOTS + 1)
     return found[:-1], int(found[-1])
 
 
@@ -136,6 +136,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Each label gives as many rows (those first by hash of id and text), or all it has; one at least, so every label is a class.
     """
+    bounded_batches(docs.sparkSession)
     df, total = document_frequencies(docs, text)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
@@ -178,7 +179,6 @@ def hash_bytes(b: bytes) -> int:
 def language_column(text: Column, model: Model) -> Column:
     """struct(lang, confidence); both null for a null or empty text."""
 
-    @arrow_udf("struct<lang: string, confidence: double>")
     def language(column: pa.Array) -> pa.Array:
         texts = column.to_pylist()
         best, sure, none = [], [], np.array([not t for t in texts], bool)
@@ -191,7 +191,7 @@ def language_column(text: Column, model: Model) -> Column:
         at = pa.array(np.concatenate(best), mask=none)
         return pa.StructArray.from_arrays([pa.array(model.langs, pa.string()).take(at), pa.array(np.round(np.concatenate(sure).astype(np.float64), 6), mask=none)], ["lang", "confidence"])
 
-    return language(text)
+    return arrow_udf(releasing_after(language), "struct<lang: string, confidence: double>")(text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000) -> DataFrame:

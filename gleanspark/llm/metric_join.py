@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm._shared import Scratch, binary_rows, bytes_of, key_runs, number_of, releasing, share_first, shuffle_partitions
+from gleanspark.llm._shared import Scratch, binary_rows, bounded_batches, bytes_of, key_runs, number_of, releasing, share_first, shuffle_partitions
 from gleanspark.llm.jaccard_join import components, smallest_reached
 
 #: Float sums may differ in the last digits: bounds are loosened by this, distances are computed in double precision.
@@ -141,6 +141,7 @@ def range_join(vectors: DataFrame, radius: float, vec_id: str = "vec_id", embedd
     result. Pivots number at most ``most_pivots`` (then cells have more blocks).
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "metric")
     kind = vectors.schema[vec_id].dataType
     vec = F.col(embedding) if dict(vectors.dtypes)[embedding] == "array<float>" else F.col(embedding).cast("array<double>")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import _WS, Scratch, mix, shuffle_partitions, steps
+from gleanspark.llm._shared import _WS, Scratch, bounded_batches, mix, releasing, releasing_after, shuffle_partitions, steps
 
 DOC, GAP, PLACED = 0, 1, 2
 STATE = "kind int, size int, bin long, used int, doc_id {id}, piece int, part int, rank int"
@@ -39,7 +39,6 @@ def first_bin(turn: int, part: int) -> int:
 def word_count(text: Column) -> Column:
     """Runs of bytes other than ASCII white space; null for null."""
 
-    @arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
         out = []
         for _, _, raw, offsets in steps(column):
@@ -50,7 +49,7 @@ def word_count(text: Column) -> Column:
             out.append(np.diff(np.append(0, np.cumsum(first))[offsets]))
         return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), mask=np.array(column.is_null()))
 
-    return count(text)
+    return arrow_udf(releasing_after(count), "long")(text)
 
 
 class Ranges:
@@ -106,7 +105,7 @@ def _start(lengths: DataFrame, capacity: int, kind: str) -> DataFrame:
                 z = np.zeros(len(g))
                 yield _batch(z + GAP, capacity - size[g], bins[g], size[g], pa.nulls(len(g), ids.type), z, z - 1, z - 1)
 
-    return lengths.mapInArrow(run, STATE.format(id=kind))
+    return lengths.mapInArrow(releasing(run), STATE.format(id=kind))
 
 
 def _batch(kind, size, bins, used, ids, piece, part, rank) -> pa.RecordBatch:
@@ -165,7 +164,7 @@ def _route(state: DataFrame, ranges: Ranges, to: dict, beyond: dict, over: int,
                 home[own] = (rank[own] - a + before) % over
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(home.astype(np.int32)), pa.array(first)], NAMES)
 
-    return state.select(*NAMES).mapInArrow(run, STATE.format(id=kind))
+    return state.select(*NAMES).mapInArrow(releasing(run), STATE.format(id=kind))
 
 
 def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
@@ -228,7 +227,7 @@ def _sweep(routed: DataFrame, capacity: int, turn: int, kind: str) -> DataFrame:
                 z = np.zeros(len(rest))
                 yield _batch(z + GAP, rest[:, 0], rest[:, 1], rest[:, 2], pa.nulls(len(rest), ids.type), z, z + p, z - 1)
 
-    return routed.mapInArrow(run, STATE.format(id=kind))
+    return routed.mapInArrow(releasing(run), STATE.format(id=kind))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", length: Column | None = None, most_rounds: int = 1000) -> DataFrame:
@@ -243,6 +242,7 @@ def pack(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: st
         raise ValueError("capacity >= 1")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
+    bounded_batches(spark)
     scratch = Scratch(spark, "packing")
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     n = word_count(F.col(text)) if length is None else length

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import steps
+from gleanspark.llm._shared import bounded_batches, releasing, releasing_after, steps
 
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -247,6 +247,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     give their findings each; rows with a null id give theirs under null. Candidates that overlap are one. Values and texts of any
     length count whole. A table without a path column has empty paths; an empty table has no findings. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     forest = train(findings)
 
     def run(batches):
@@ -265,13 +266,12 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4])], ["doc_id", "position", "length", "value_sha", "score"])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).alias("text"), _path(docs, path).alias("path")).mapInArrow(run, f"doc_id {kind}, position bigint, length bigint, value_sha string, score double")
+    return docs.select(F.col(doc_id), F.col(text).alias("text"), _path(docs, path).alias("path")).mapInArrow(releasing(run), f"doc_id {kind}, position bigint, length bigint, value_sha string, score double")
 
 
 def redacted(text: Column, path: Column, forest: Forest, threshold: float = 0.5, mark: str = "[SECRET]") -> Column:
     """The text with each secret replaced by ``mark``; a null stays null."""
 
-    @arrow_udf("string")
     def redact(texts: pa.Array, paths: pa.Array) -> pa.Array:
         change: dict[int, str] = {}
         for lo, raw, offsets, begin, end, _ in _scan(texts, paths, forest, threshold):
@@ -289,7 +289,7 @@ def redacted(text: Column, path: Column, forest: Forest, threshold: float = 0.5,
             out[i] = t
         return pa.array(out, pa.string())
 
-    return redact(text, path)
+    return arrow_udf(releasing_after(redact), "string")(text, path)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", n_chars: str = "n_chars", threshold: float = 0.5, findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
@@ -298,6 +298,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", n_
     All rows and columns stay, repeated ones too; null texts stay null and keep their n_chars, empty ones stay empty. A table without a
     path column has empty paths; an empty table stays empty. Values of any length go whole.
     """
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn(text, redacted(F.col(text), _path(docs, path), train(findings), threshold))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.coalesce(F.length(text).cast(docs.schema[n_chars].dataType), F.col(n_chars)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bytes_of, fresh, gram_hashes, key_runs, mix, is_number, number_of, powers, releasing, shuffle_partitions, signed, spans, steps, word_hashes
+from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bounded_batches, bytes_of, fresh, gram_hashes, key_runs, mix, is_number, number_of, powers, releasing, releasing_after, shuffle_partitions, signed, spans, steps, word_hashes
 
 K = 10
 #: Words that an index is built over at once, when several anchors' contexts share one.
@@ -310,6 +310,7 @@ def _ranges(docs: DataFrame, least: int, k: int, hot: int, doc_id: str, text: st
     if not 1 <= k <= least:
         raise ValueError("1 <= k <= least")
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "repeats")
     texts = docs.select(number_of(docs, doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
@@ -344,7 +345,6 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = K, hot: int = 1
 def _cut(text: Column, ranges: Column) -> Column:
     """The text without ranges of words and the white space after them."""
 
-    @arrow_udf("string")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = texts.to_pylist()
         wanted = lists.to_pylist()
@@ -363,7 +363,7 @@ def _cut(text: Column, ranges: Column) -> Column:
                 out[i] = b"".join([*keep, raw[at : offsets[d + 1]].tobytes()]).decode()
         return pa.array(out, pa.string())
 
-    return cut(text, ranges)
+    return arrow_udf(releasing_after(cut), "string")(text, ranges)
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, k: int = K, hot: int = 16384, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
