@@ -56,8 +56,8 @@ class Scratch:
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let an Arrow batch hold ``most`` bytes at most: JVM and Python hold a batch several times over. A lower setting of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "-1").rstrip("bB"))
-    if now <= 0 or now > most:
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if now > most:
         spark.conf.set(key, str(most))
 
 
