@@ -210,11 +210,24 @@ def _postings(docs: DataFrame, n: int, t: float, rarity, parts: int) -> DataFram
     """Postings of a batch for each partition, as one row: groups with their number of grams, then these grams (32 bits within a
     partition; a collision can only add a candidate). A task sends a group that it remembers once."""
 
+    def rows(groups, prefixes):
+        grp = signed(np.array(groups, np.uint64))
+        doc = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for p in prefixes])
+        key = mix(np.concatenate(prefixes))
+        to = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
+        gram = (key >> np.uint64(32)).astype(np.uint32)
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[p] : cuts[p + 1]]
+            used, many = np.unique(doc[own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (grp[used], many.astype(np.int32), gram[own])], ["part", "grp", "many", "gram"])
+
     def run(batches):
         seen: set[int] = set()
+        groups, prefixes, held = [], [], 0
         for b in batches:
-            for _, _, raw, offsets in steps(b.column(2), 1 << 22):
-                groups, prefixes = [], []
+            for _, _, raw, offsets in steps(b.column(2)):
                 for k in ordered_sets(raw, offsets, n, rarity.value):
                     if len(k):
                         p = k[: prefix_length(len(k), t)]
@@ -222,22 +235,15 @@ def _postings(docs: DataFrame, n: int, t: float, rarity, parts: int) -> DataFram
                         if g not in seen:
                             seen.add(g)
                             groups.append(g)
-                            prefixes.append(p)
-                if len(seen) > 1 << 20:
+                            prefixes.append(p.copy())
+                            held += len(p)
+                if len(seen) > 1 << 18:
                     seen.clear()
-                if not groups:
-                    continue
-                grp = signed(np.array(groups, np.uint64))
-                doc = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for p in prefixes])
-                key = mix(np.concatenate(prefixes))
-                to = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
-                gram = (key >> np.uint64(32)).astype(np.uint32)
-                for p in np.flatnonzero(np.diff(cuts)):
-                    own = order[cuts[p] : cuts[p + 1]]
-                    used, many = np.unique(doc[own], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (grp[used], many.astype(np.int32), gram[own])], ["part", "grp", "many", "gram"])
+                if held > 1 << 18:
+                    yield from rows(groups, prefixes)
+                    groups, prefixes, held = [], [], 0
+        if groups:
+            yield from rows(groups, prefixes)
 
     return docs.mapInArrow(releasing(run), "part int, grp binary, many binary, gram binary")
 
