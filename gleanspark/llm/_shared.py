@@ -104,6 +104,16 @@ def number_of(docs: DataFrame, doc_id: str) -> Column:
     return F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string")))
 
 
+#: Bytes of a table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def hinted(table: DataFrame, size: Column) -> DataFrame:
+    """A written table with a broadcast hint if the sum of ``size``, bytes by row, is proved small."""
+    total = table.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

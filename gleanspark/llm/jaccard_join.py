@@ -32,15 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm._shared import Scratch, binary_rows, bounded_batches, bytes_of, gram_hashes, is_number, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
+from gleanspark.llm._shared import Scratch, binary_rows, bounded_batches, bytes_of, gram_hashes, hinted, is_number, key_runs, mix, number_of, releasing, shuffle_partitions, signed, steps, word_hashes
 
 BITS = 20
 BUCKETS = 1 << BITS
 SLICE = 1 << 16
 #: A gram's bucket is crowded beyond so many times the mean.
 CROWDED = 4
-#: Bytes of rows to verify that may be broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Nodes of a block: two blocks' sets and their overlaps are what a task holds at once.
 BLOCK = 1024
 #: Sizes are carried as whole powers of this.
@@ -444,7 +442,6 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
     routes = crossing.unionByName(inner).join(nodes.select("node", "block", "size", "bits"), "node").select("cell", "block", "node", "size", "bits")
     routes = _surviving(routes.repartition(parts, "cell").sortWithinPartitions("cell"), t).groupBy("node").agg(F.collect_list("cell").alias("cells"))
     wanted = scratch.save(routes.join(nodes.select("node", "block", "weight", "whole", F.col("doc").alias("own_doc"), F.col("th").alias("own_th")), "node"))
-    need = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells")).first()
 
     def sets(batches):
         for b in batches:
@@ -473,7 +470,7 @@ def similar_nodes(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "do
         repeated = [g for g, i in zip(grams, at) for _ in range(many[i])]
         return pa.RecordBatch.from_arrays([pa.array(cells), b.column(2).take(take), b.column(1).take(take), b.column(3).take(take), binary_rows(np.concatenate(repeated), np.append(0, np.cumsum([len(g) for g in repeated])))], ["cell", "block", "node", "weight", "grams"])
 
-    rows_of = F.broadcast(wanted) if need["rows"] * 96 + (need["cells"] or 0) * 16 <= BROADCAST_BYTES else wanted
+    rows_of = hinted(wanted, F.lit(96) + F.size("cells") * 16)
     routed = texts.join(rows_of, (F.col("doc") == F.col("own_doc")) & (F.col("th") == F.col("own_th"))).select("text", "node", "block", "weight", "cells", "whole").mapInArrow(releasing(sets), "cell long, block long, node long, weight long, grams binary")
     similar = scratch.save(_verify(routed.repartition(parts, "cell").sortWithinPartitions("cell"), t))
     scratch.drop(wanted, found, merged)
@@ -544,7 +541,7 @@ def one_of_each(docs: DataFrame, t: float = 0.7, n: int = 2, doc_id: str = "doc_
     least = member.groupBy("root").agg(F.min("doc").alias("keep"), F.count("*").alias("n")).where("n > 1")
     lost = scratch.save(member.join(least, "root").where("doc != keep").select(F.col("doc.doc").alias("lost_doc"), F.col("doc.th").alias("lost_th")).distinct())
     key = number_of(docs, doc_id)
-    kept = docs.join(lost, (key == lost["lost_doc"]) & (F.xxhash64(text) == lost["lost_th"]), "left_anti")
+    kept = docs.join(hinted(lost, F.lit(32)), (key == lost["lost_doc"]) & (F.xxhash64(text) == lost["lost_th"]), "left_anti")
     twice = docs.groupBy(key.alias("twice_doc")).agg(F.count("*").alias("n")).where("n > 1 and twice_doc is not null").select("twice_doc")
     twice = scratch.save(twice)
     if twice.isEmpty():

@@ -373,7 +373,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, k: int = K, hot: int = 1638
     repeated rows of a document stay and are cut alike. An empty table stays empty.
     """
     own, hash_, list_ = (fresh(n, docs.columns) for n in ("own_doc", "own_hash", "own_list"))
-    cuts = _ranges(docs, least, k, hot, doc_id, text).where("again").groupBy(F.col("doc").alias(own), F.col("th").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(list_))
+    scratch = Scratch(docs.sparkSession, "cuts")
+    cuts = scratch.save(_ranges(docs, least, k, hot, doc_id, text).where("again").groupBy(F.col("doc").alias(own), F.col("th").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(list_)))
+    cuts = hinted(cuts, F.lit(64) + F.size(list_) * 32)
     keyed = docs.withColumn(own, number_of(docs, doc_id)).withColumn(hash_, F.xxhash64(text))
     joined = keyed.join(cuts, [own, hash_], "left").withColumn(text, _cut(F.col(text), F.col(list_)))
     joined = joined.where(F.col(list_).isNull() | (F.length(F.regexp_replace(F.col(text), r"[ \t\n\x0B\f\r]", "")) > 0))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gleanspark.llm import bpe, crf_quality, gif, jaccard_join, language_id, metric_join, packing, secret_scan, suffix_dedup, url_filter
+from gleanspark.llm import _shared, bpe, crf_quality, gif, jaccard_join, language_id, metric_join, packing, secret_scan, suffix_dedup, url_filter
 
 LONG = " ".join(f"w{i}" for i in range(400))
 ROWS = [(1, LONG, "en", "s", 1), (2, LONG, "en", "s", 1), (2, LONG, "en", "s", 1), (3, "", "de", None, 0), (4, None, None, "s", None), (None, "a b c", "en", "s", 3), (5, " ".join(f"v{i}" for i in range(60)) + " " + " ".join(f"w{i}" for i in range(60)), "en", "s", 9)]
@@ -93,7 +93,7 @@ def brute_force_classes(texts, t=0.7):
 @pytest.mark.parametrize("block", [1024, 4])
 def test_jaccard_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", block * 1000)
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", block * 1000)
     texts = near_copies(block)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_force_classes(texts)
