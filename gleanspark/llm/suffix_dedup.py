@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bounded_batches, bytes_of, fresh, gram_hashes, key_runs, mix, is_number, number_of, powers, releasing, releasing_after, shuffle_partitions, signed, spans, steps, word_hashes
+from gleanspark.llm._shared import _INVERSE, Scratch, binary_rows, bounded_batches, bytes_of, fresh, gram_hashes, hinted, is_number, key_runs, mix, number_of, powers, releasing, releasing_after, shuffle_partitions, signed, spans, steps, word_hashes
 
 K = 10
 #: Words that an index is built over at once, when several anchors' contexts share one.
