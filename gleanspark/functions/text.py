@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?"
-_UNIT = r"(?:[^\S\n]*([A-Za-zµμ%°][A-Za-z0-9µμ%°/·*^-]*(?:[^\S\n]?/[^\S\n]?[A-Za-zµμ]+)?))?"
+_UNIT = r"(?U:\s*)(%|[A-Za-zµμ\uFFFD]+(?:(?U:\s*)/(?U:\s*)[A-Za-zµμ\uFFFD0-9]+)*)?"
 #: Replaced one after the other, anywhere in a unit: the order is part of the meaning.
-UNIT_ALIASES = (("micrograms", "ug"), ("microgram", "ug"), ("milligrams", "mg"), ("milligram", "mg"), ("μ", "u"), ("µ", "u"), ("mcg", "ug"), ("litre", "l"), ("liter", "l"), ("gram", "g"), ("hours", "h"), ("hour", "h"), ("minute", "min"), ("sec", "s"))
+UNIT_ALIASES = (
+    ("µ", "u"), ("μ", "u"), ("\ufffd", "u"), ("litre", "l"), ("liter", "l"), ("litres", "l"), ("liters", "l"), ("gram", "g"), ("grams", "g"), ("gm", "g"), ("percent", "%"), ("pct", "%"), ("sec", "s"), ("second", "s"),
+    ("seconds", "s"), ("minute", "min"), ("minutes", "min"), ("hour", "h"), ("hours", "h"), ("hr", "h"), ("hrs", "h"), ("day", "d"), ("days", "d"),
+)
 
 
 def canon_text(v: Column) -> Column:
@@ -17,9 +25,9 @@ def canon_text(v: Column) -> Column:
 
 
 def fix_units(v: Column) -> Column:
-    """Damaged or Greek micro signs before g, g/mL and L become the micro sign; ug/ml is spelled µg/mL."""
-    micro = "[�µμ]"
-    for pattern, to in ((micro + r"g/[mM][lL]", "µg/mL"), (r"(?i)\bug/ml\b", "µg/mL"), (micro + "g", "µg"), (micro + "[lL]", "µL")):
+    """Damaged or Greek micro signs before g/mL, g and L, with or without space, become the micro sign; ug/ml is spelled µg/mL."""
+    micro = r"[\uFFFDµμ](?U:\s*)"
+    for pattern, to in ((micro + r"g(?U:\s*/\s*)m(?U:\s*)[lL]", "µg/mL"), (micro + r"g(?U:\b)", "µg"), (micro + r"[lL](?U:\b)", "µL"), (r"(?iU)\bug/ml\b", "µg/mL")):
         v = F.regexp_replace(v, pattern, to)
     return v
 
@@ -48,7 +56,7 @@ def canon_unit(v: Column) -> Column:
     c = F.lower(canon_text(v))
     for a, b in UNIT_ALIASES:
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, r"(?U)[\s·*]", "")
+    return F.regexp_replace(c, r"(?U)[\s·*]+", "")
 
 
 def number_unit_pairs(v: Column) -> Column:
@@ -76,8 +84,8 @@ def unit_agrees(v: Column, unit: Column, span: Column, tolerance: float = 1e-6)
 
 
 def token_set(v: Column) -> Column:
-    c = F.lower(canon_text(v))
-    c = F.regexp_replace(F.regexp_replace(c, r"(\d)([a-z])", "$1 $2"), r"([a-z])(\d)", "$1 $2")
+    """Distinct runs of a-z and 0-9 of the lower-case text; a letter after a digit begins a new one."""
+    c = F.regexp_replace(F.lower(canon_text(v)), r"(?U)(?<=\d)(?=[a-z])", " ")
     return F.array_distinct(F.filter(F.split(F.regexp_replace(c, r"[^a-z0-9 ]", " "), " "), lambda t: t != ""))
 
 
@@ -87,15 +95,26 @@ def token_set_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def value_agreement(a: Column, b: Column, numeric: bool = False) -> Column:
-    """1 for equal values, 0 for different ones; texts by token overlap, numbers within a thousandth."""
+def value_agreement(a: Column, b: Column, numeric: bool = False, nested: bool = False) -> Column:
+    """1 for equal values, 0 for different ones; texts by token overlap, numbers within a thousandth, nested values by their JSON."""
     if numeric:
         same = ((a == b) | (F.abs(a - b) / F.greatest(F.abs(a), F.abs(b)) < 0.001)).cast("double")
+    elif nested:
+        same = (F.to_json(a) == F.to_json(b)).cast("double")
     else:
         same = F.when(F.lower(F.btrim(a)) == F.lower(F.btrim(b)), 1.0).otherwise(token_set_similarity(a, b))
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
+def record_signature(span: Column, record: Column) -> Column:
+    """The first 120 characters of the lower-case evidence, else the first 200 of the record's JSON without nulls.
+
+    ``record``: a struct of the fields in alphabetical order, without those that only describe the run.
+    """
+    own = F.substring(F.lower(F.regexp_replace(F.coalesce(span, F.lit("")), r"(?U)^\s+|\s+$", "")), 1, 120)
+    return F.coalesce(F.nullif(own, F.lit("")), F.substring(F.to_json(record), 1, 200))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b to four places, 0 where b is 0 or null."""
     return F.coalesce(F.round(F.try_divide(a, b), 4), F.lit(0.0))
@@ -114,19 +133,25 @@ def content_hash(v: Column) -> Column:
     return F.substring(F.sha2(v.cast("binary"), 256), 1, 32)
 
 
+@arrow_udf(StringType())
+def _unescaped(column: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in column.to_pylist()], pa.string())
+
+
 def strip_html(v: Column) -> Column:
-    """Text of HTML: scripts, styles and heads go, blocks end lines, the usual entities are decoded."""
-    for pattern, to in ((r"(?is)<(script|style|head)[^>]*>.*?</\1>", " "), (r"(?i)<br\s*/?>|</(?:p|div|tr|h[1-6]|li)>", "\n"), (r"(?s)<[^>]+>", " ")):
+    """Text of HTML: scripts, styles and heads go, blocks end lines, entities are decoded. Texts without any stay in the JVM."""
+    for pattern, to in ((r"(?is)<(script|style|head)[^>]*>.*?</\1>", " "), (r"(?i)<(?:br|/p|/div|/tr|/h[1-6]|/li)(?U:\s*)/?>", "\n"), (r"(?s)<[^>]+>", " ")):
         v = F.regexp_replace(v, pattern, to)
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        v = F.replace(v, F.lit(a), F.lit(b))
+    has = F.contains(v, F.lit("&"))
+    v = F.when(has, _unescaped(F.when(has, v))).otherwise(v)
     v = F.regexp_replace(F.regexp_replace(v, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
 
 
-def dig(json_text: Column, path: str) -> Column:
-    """A value by dotted path, whole numbers index lists."""
-    return F.get_json_object(json_text, "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".")))
+def dig(json_text: Column, path: str, default: str | None = None) -> Column:
+    """A value by dotted path, whole numbers index lists; the default where there is none."""
+    found = F.get_json_object(json_text, "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".")))
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def rebuild_abstract(positions: Column) -> Column:
@@ -136,5 +161,12 @@ def rebuild_abstract(positions: Column) -> Column:
 
 
 def cell(v: Column, kind: str = "string") -> Column:
-    """A value as CSV text: null is empty, lists are joined by semicolons."""
-    return F.coalesce(F.array_join(v, "; ") if kind.startswith("array") else v.cast("string"), F.lit(""))
+    """A value as CSV text: null is empty, lists are joined by semicolons, doubles are spelled as such."""
+    if kind.startswith("array"):
+        text = F.array_join(v, "; ", "None")
+    elif kind in ("double", "float"):
+        # 1.0E7 and the like are written out below 10**16
+        text = F.when((F.abs(v) >= 1e7) & (F.abs(v) < 1e16) & (v == F.floor(v)), F.concat(v.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
+    else:
+        text = v.cast("string")
+    return F.coalesce(text, F.lit(""))

@@ -94,8 +94,17 @@ def windows(own: list[str], words: list[str], most: int = 40) -> list[list[str]]
     return [words[max(0, i - width) : i + width] for i in places[:most]]
 
 
+def span_coverage(span: str, text: str) -> float:
+    """How much of a span's letters its best window in the text covers."""
+    canon = lambda v: re.sub(r"\s+", " ", v or "").strip().lower()
+    return best_window(canon(span), canon(text).split())[0]
+
+
 def best_window(span: str, words: list[str], most: int = 40) -> tuple[float, list[str]]:
-    """(coverage of the span, words) of the text's best window, tried around the span's longest word."""
+    """(coverage of the span, words) of the text's best window, tried at the first ``most`` places of the span's longest word.
+
+    The places are part of what grounding means: a span whose longest word is that common counts by its first occurrences.
+    """
     own = span.split()
     if not own or not words:
         return 0.0, []
@@ -262,7 +271,15 @@ def annotate(records: DataFrame, template: Template, text: str = "text", exact_o
 
 def dedupe(records: DataFrame, template: Template, order: tuple[str, ...] = ("chunk_idx", "pos")) -> DataFrame:
     """The first record of each document and signature (keys, span, value)."""
-    parts = [F.lower(F.coalesce(F.when(F.col(k).cast("string") == "0", "").otherwise(F.col(k).cast("string")), F.lit(""))) for k in template.keys]
+    kinds = dict(records.dtypes)
+
+    def truthy(k: str) -> Column:
+        c, kind = F.col(k), kinds[k]
+        false = c == F.lit("") if kind == "string" else ~c if kind == "boolean" else c == 0
+        return F.when(c.isNull() | false, "").otherwise(T.cell(c, kind))
+
+    # falsy keys count as missing, whatever their type; a text "0" doesn't
+    parts = [F.lower(truthy(k)) for k in template.keys]
     parts.append(F.lower(F.substring(F.coalesce("source_span", F.lit("")), 1, 120)))
     parts.append(F.coalesce(F.col("value").cast("string"), F.lit("None")) if "value" in records.columns else F.lit(""))
     w = W.partitionBy("doc_id", *[F.col(f"_k{i}") for i in range(len(parts))]).orderBy(*order)

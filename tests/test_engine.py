@@ -98,6 +98,5 @@ def test_token_neighbours_against_brute_force(spark):
         docs.append((i, "st"[i % 2], " ".join([*many(60), *same, *tail] if i % 4 == 0 else [*same[:60], *tail] if i % 4 == 1 else tail)))
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     sets = {i: (s, set(t.split())) for i, s, t in docs if t and s}
-    sets = {i: (s, {p for t in v for p in ((t[0], t[1:]) if t[1:].isdigit() else (t,))}) for i, (s, v) in sets.items()}
     want = [(i, j, round(len(x & y) / len(x | y), 6)) for i, (s, x) in sets.items() for j, (u, y) in sets.items() if i < j and s == u and 2 * len(x & y) >= len(x | y)]
     assert sorted(map(tuple, _token_neighbours(df).collect())) == sorted(want) and len(want) > 5
