@@ -250,11 +250,70 @@ def possible_spans(text: Column, shared, least: float = 0.85) -> Column:
 _searches: dict = {}
 
 
-def annotate(records: DataFrame, template: Template, text: str = "text", exact_only: bool = False) -> DataFrame:
-    """The flags _grounded, _value_grounded, _unit_grounded and the list _ungrounded; drops the text."""
+def ground_within(records: DataFrame, docs: DataFrame, by: str = "doc_id", text: str = "text", exact_only: bool = False) -> DataFrame:
+    """records with ``_grounded`` against their document's whole text, which is brought into canonical form once a document.
+
+    A document's records travel as one array beside its text. Only spans that aren't found exactly are compared letter by letter.
+    """
+    columns = [c for c in records.columns if c != by]
+    nested = records.groupBy(by).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    both = docs.select(by, F.lower(T.canon_text(F.col(text))).alias("_canon")).join(nested, by)
+    span = lambda r: F.lower(T.canon_text(r["source_span"]))
+    hit = lambda r: F.when(span(r).rlike(r"\p{L}"), F.contains(F.col("_canon"), span(r))).otherwise(False)
+    flags = F.transform("_rows", hit)
+    if not exact_only:
+        missed = F.transform("_rows", lambda r: F.when(~hit(r), r["source_span"]))
+        any_missed = F.exists(missed, lambda m: m.isNotNull())
+        near = _near_all(F.when(any_missed, missed), F.when(any_missed, F.col("_canon")))
+        flags = F.when(any_missed, F.zip_with(flags, near, lambda a, b: a | b)).otherwise(flags)
+    rows = both.select(by, F.explode(F.arrays_zip(F.col("_rows").alias("r"), flags.alias("g"))).alias("x"))
+    return rows.select(by, *[F.col(f"x.r.{c}").alias(c) for c in columns], F.col("x.g").alias("_grounded"))
+
+
+def _near_all(spans: Column, text: Column, least: float = 0.85) -> Column:
+    @arrow_udf("array<boolean>")
+    def check(lists: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([None if ss is None else [s is not None and fuzzy(s, t, least) for s in ss] for ss, t in zip(lists.to_pylist(), texts.to_pylist())], pa.list_(pa.bool_()))
+
+    return check(spans, text)
+
+
+def _gram_hashes(words: Column, k: int) -> Column:
+    """Hashes of all runs of k words. The words are bound once, as the only element of an array, not anew for each run."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(k)), " ")))
+    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) >= k), of))
+
+
+def contained_spans(spans: DataFrame, docs: DataFrame, span_id: str, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """(span_id, doc_id) of spans (column ``span``) whose canonical form, with a letter, lies in a document's.
+
+    A span's inner words are whole words of such a document, so the two share the run of its first inner ones (``words`` at most),
+    by whose hash they are joined; a span of under three words has no inner one and is compared with every document.
+    """
+    s = spans.select(span_id, F.lower(T.canon_text(F.col("span"))).alias("_span")).where(F.col("_span").rlike(r"\p{L}"))
+    s = s.withColumn("_w", F.split("_span", " ")).withColumn("_k", F.least(F.lit(words), F.size("_w") - 2))
+    s = s.withColumn("_key", F.when(F.col("_k") > 0, F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.greatest("_k", F.lit(1))), " "))))
+    d = docs.select(doc_id, F.lower(T.canon_text(F.col(text))).alias("_text"))
+    found = None
+    for k in sorted({r["_k"] for r in s.where("_k > 0").select("_k").distinct().collect()}):
+        e = d.select(doc_id, F.explode(F.array_distinct(_gram_hashes(F.split("_text", " "), k))).alias("_key"))
+        met = e.join(s.where(F.col("_k") == k).select(span_id, "_key"), "_key").select(doc_id, span_id)
+        found = met if found is None else found.unionByName(met)
+    short = d.join(s.where("_k <= 0").select(span_id, "_span"), F.contains(F.col("_text"), F.col("_span"))).select(span_id, doc_id)
+    if found is None:
+        return short
+    pairs = found.distinct().join(s.select(span_id, "_span"), span_id).join(d, doc_id)
+    return pairs.where(F.contains("_text", F.col("_span"))).select(span_id, doc_id).unionByName(short)
+
+
+def annotate(records: DataFrame, template: Template, text: str | None = "text", exact_only: bool = False) -> DataFrame:
+    """The flags _grounded, _value_grounded, _unit_grounded and the list _ungrounded; drops the text. Without a text the records
+    have _grounded already (``ground_within``)."""
     span = F.col("source_span")
-    g = exact_grounding(span, F.col(text)) if exact_only else grounded(span, F.col(text))
-    out = records.withColumn("_grounded", g).drop(text)
+    out = records
+    if text:
+        g = exact_grounding(span, F.col(text)) if exact_only else grounded(span, F.col(text))
+        out = records.withColumn("_grounded", g).drop(text)
     names, values, units = [], [], []
     for n in template.numeric:
         v = F.col(n).cast("double")

@@ -103,10 +103,48 @@ def audit_report(audits: DataFrame) -> DataFrame:
     return out.withColumns({"pass_rate": T.ratio(F.col("confirmed"), F.col("sampled")), "ci_low": ci["low"], "ci_high": ci["high"]})
 
 
-def gate_batches(records: DataFrame, by: str, order: str, size: int = 10, payload: str = "id") -> DataFrame:
-    """Groups of consecutive records for one call each; numbering is within ``by``, so it distributes."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(order)) - 1
-    return records.withColumn("batch", F.floor(n / size)).groupBy(by, "batch").agg(F.array_sort(F.collect_list(payload)).alias("members"), F.count("*").alias("size"))
+def numbered(rows: DataFrame, order: str, width: int = 1 << 16, name: str = "index") -> DataFrame:
+    """rows with their number from 0 in the order of an integer column, without one task for all: numbers within ranges of
+    ``width`` values, plus the counts of the ranges before. Ties are in no set order; a null order comes first."""
+    bucket = F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62)))
+    sizes = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_bucket", bucket).withColumn("_inside", F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1)
+    return inside.join(before, "_bucket").withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
+
+
+def gate_batches(records: DataFrame, order: str, size: int = 10, payload: str = "id") -> DataFrame:
+    """The whole list in groups of consecutive records, one call each."""
+    n = numbered(records, order)
+    return n.groupBy(F.floor(F.col("index") / size).alias("batch")).agg(F.array_sort(F.collect_list(payload)).alias("members"), F.count("*").alias("size"))
+
+
+def mark(entries: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """entries with the verdict, agreement and time of verdicts(key, verdict, agreement, verified_at) written back; others keep theirs."""
+    own = [c for c in ("verdict", "agreement", "verified_at") if c in entries.columns]
+    v = verdicts.select("key", *[F.col(c).alias(f"_{c}") for c in own], F.lit(True).alias("_marked"))
+    return entries.join(v, "key", "left").select(*[F.when(F.col("_marked"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in entries.columns])
+
+
+def clear(entries: DataFrame) -> DataFrame:
+    """No entry at all, in the same shape."""
+    return entries.where(F.lit(False))
+
+
+def list_rows(rows: DataFrame, newest: str, limit: int | None = None, **equal) -> DataFrame:
+    """Jobs or tasks of the given column values, newest first; the limit is the option's."""
+    for c, v in equal.items():
+        if v is not None:
+            rows = rows.where(F.col(c) == v)
+    out = rows.orderBy(F.desc(newest), *[c for c in ("id", "job_id", "doc_id") if c in rows.columns])
+    return out.limit(limit) if limit else out
+
+
+def find(rows: DataFrame, **key) -> DataFrame:
+    """The rows of a key: a filter that reaches the scan."""
+    for c, v in key.items():
+        rows = rows.where(F.col(c) == v)
+    return rows
 
 
 def gate_verdicts(records: DataFrame, verdicts: DataFrame, key: str = "id") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanspark.functions import text as T
 from gleanspark.operators import extraction as X
@@ -56,7 +58,7 @@ def parse_number_urls(spark, d):
 _HTML = "html"
 for _tag in ("script", "style", "head"):
     _HTML = f"regexp_replace({_HTML}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
-_HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?i)<br\s*/?>|</(?:p|div|tr|h[1-6]|li)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?i)<(?:br|/p|/div|/tr|/h[1-6]|/li)\s*/?>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
 for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
 _HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -77,8 +79,7 @@ def chunk_fixed_stride(spark, d):
 def _records(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     raw = X.records_of(X.rule_answers(X.chunks(docs, size=2000, overlap=200)).select("doc_id", "source", "chunk_idx", "answer"), GENERIC)
-    grounded = X.annotate(raw.join(docs.select("doc_id", "text"), "doc_id"), GENERIC, exact_only=True)
-    return X.dedupe(grounded, GENERIC)
+    return X.dedupe(X.annotate(X.ground_within(raw, docs, exact_only=True), GENERIC, text=None), GENERIC)
 
 
 _RECORDS = rf"""chunks AS ({ORACLE_SQL["chunk_fixed_stride"]}),
@@ -104,10 +105,10 @@ def dedupe_records(spark, d):
 @query(rf"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower({_CANON.format("d.text")}), lower({_CANON.format("b.text")})) WHERE regexp_matches(b.text, '\p{{L}}')""")
 def ground_benchmark_in_documents(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
-    return table(spark, d, "documents").join(b, X.exact_grounding(F.col("span"), F.col("text"))).select("item_id", "doc_id")
+    return X.contained_spans(b, table(spark, d, "documents"), "item_id").select("item_id", "doc_id")
 
 
-@query(r"""WITH t AS (SELECT doc_id, source, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g'))), '([0-9])([a-z])', '\1 \2', 'g'), '([a-z])([0-9])', '\1 \2', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '')) AS s FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, source, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '([0-9])([a-z])', '\1 \2', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '')) AS s FROM documents)
     SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id
     WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= 0.5 * len(list_distinct(list_concat(a.s, b.s)))""")
 def token_jaccard_neighbours(spark, d):
@@ -216,9 +217,9 @@ def messages_from_conversations(spark, d):
     return S.messages(table(spark, d, "conversations")).select("conv_id", F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])).alias("messages"))
 
 
-@query("SELECT source, (n // 10)::BIGINT AS batch, list(doc_id ORDER BY doc_id) AS members, count(*) AS size FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY source, n // 10")
+@query("SELECT (n // 10)::BIGINT AS batch, list(doc_id ORDER BY doc_id) AS members, count(*) AS size FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY n // 10")
 def gate_batches(spark, d):
-    return S.gate_batches(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", payload="doc_id")
+    return S.gate_batches(table(spark, d, "documents").select("doc_id"), "doc_id", payload="doc_id")
 
 
 @query("SELECT doc_id, coalesce(quality = 1, true) AS include, quality IS NULL AS unjudged FROM documents LEFT JOIN labels USING (doc_id)")
@@ -230,21 +231,30 @@ def gate_unjudged_left_join(spark, d):
 @query("""WITH t AS (SELECT * FROM (VALUES (0, 'and'), (1, 'the'), (2, 'der')) v(term_idx, term)), f AS (SELECT doc_id, term_idx, row_number() OVER (PARTITION BY doc_id ORDER BY term_idx) AS n FROM documents JOIN t ON contains(text, term))
     SELECT doc_id, term_idx FROM f WHERE n = 1""")
 def search_terms_union_dedupe(spark, d):
-    docs, found = table(spark, d, "documents"), None
-    for i, term in enumerate(("and", "the", "der")):
-        part = docs.where(F.contains("text", F.lit(term))).select("doc_id", F.lit(i).alias("term_idx"), F.col("doc_id").alias("pos"))
-        found = part if found is None else found.unionByName(part)
-    return S.first_term_wins(found).select("doc_id", "term_idx")
+    """One scan: a document's terms as an array, of which the first counts."""
+    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(("and", "the", "der"))]), lambda x: F.contains("text", x["t"]))
+    return table(spark, d, "documents").select("doc_id", F.get(hits, F.lit(0))["i"].alias("term_idx")).where("term_idx is not null")
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ') AS abstract FROM documents WHERE contains(text, ' ')")
 def inverted_index_rebuild(spark, d):
-    words = table(spark, d, "documents").where("contains(text, ' ')").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).where("w != ''")
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", T.rebuild_abstract(F.col("index")).alias("abstract"))
+    """Each text's index of words and positions, and the text that it stands for."""
 
+    @arrow_udf("map<string, array<int>>")
+    def index_of(column: pa.Array) -> pa.Array:
+        out = []
+        for text in column.to_pylist():
+            index: dict[str, list[int]] = {}
+            for i, w in enumerate(w for w in text.split(" ") if w):
+                index.setdefault(w, []).append(i)
+            out.append(list(index.items()))
+        return pa.array(out, pa.map_(pa.string(), pa.list_(pa.int32())))
 
-_PAIRS = """o AS (SELECT source AS key, doc_id, n_chars, lang FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT source AS key, doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 2 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 11 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 6 <> 0),
+    docs = table(spark, d, "documents").where("contains(text, ' ')").select("doc_id", index_of("text").alias("index"))
+    return docs.select("doc_id", T.rebuild_abstract(F.col("index")).alias("abstract"))
+
+
+_PAIRS = """o AS (SELECT source AS key, CASE WHEN doc_id % 7 = 0 THEN 'old ' ELSE '' END || doc_id AS doc_id, n_chars, lang FROM documents), n AS (SELECT source AS key, CASE WHEN doc_id % 6 = 0 THEN 'new ' ELSE '' END || doc_id AS doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 2 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 11 = 0 THEN 'xx' ELSE lang END AS lang FROM documents),
     m AS (SELECT coalesce(o.key, n.key) AS key, o.doc_id AS od, n.doc_id AS nd, ((CASE WHEN o.n_chars = n.n_chars THEN 1.0 ELSE 0.0 END) + (CASE WHEN o.lang = n.lang THEN 1.0 ELSE 0.0 END)) / 2 AS score FROM o FULL JOIN n ON o.key = n.key AND o.doc_id = n.doc_id),
     a AS (SELECT key, count(*) FILTER (od IS NOT NULL AND nd IS NOT NULL) AS shared, count(*) FILTER (od IS NULL) AS added, count(*) FILTER (nd IS NULL) AS removed, avg(CASE WHEN od IS NOT NULL AND nd IS NOT NULL THEN score END) AS f FROM m GROUP BY key),
     b AS (SELECT *, round(coalesce(0.5 * shared / (shared + added + removed) + 0.5 * f, shared / (shared + added + removed)), 4) AS agreement FROM a),
@@ -253,8 +263,9 @@ _PAIRS = """o AS (SELECT source AS key, doc_id, n_chars, lang FROM documents WHE
 
 def _compared(spark, d):
     x = table(spark, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").cast("string").alias("signature"), F.col("doc_id").alias("pos"), F.col("n_chars").cast("double").alias("n"), "lang", "doc_id")
-    new = x.where("doc_id % 6 != 0").withColumns({"n": F.when(F.col("doc_id") % 5 == 0, F.col("n") * 2).otherwise(F.col("n")), "lang": F.when(F.col("doc_id") % 11 == 0, "xx").otherwise(F.col("lang"))})
-    c = S.compare_records(x.where("doc_id % 7 != 0"), new, ["n", "lang"], ("n",))
+    sign = lambda n, w: F.concat(F.when(F.col("doc_id") % n == 0, w).otherwise(""), F.col("doc_id").cast("string"))
+    new = x.withColumns({"signature": sign(6, "new "),"n": F.when(F.col("doc_id") % 5 == 0, F.col("n") * 2).otherwise(F.col("n")), "lang": F.when(F.col("doc_id") % 11 == 0, "xx").otherwise(F.col("lang"))})
+    c = S.compare_records(x.withColumn("signature", sign(7, "old ")), new, ["n", "lang"], ("n",))
     return c.withColumn("verdict", S.verdict(F.col("agreement")))
 
 
@@ -291,11 +302,11 @@ def figure_summary(spark, d):
     return S.figure_summary(_figures(spark, d), "source")
 
 
-@query(rf"""SELECT doc_id, 'µg/mL' AS fixed, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS agrees FROM documents""")
+@query(rf"""SELECT doc_id, doc_id || ' µg/mL of ' || lang AS fixed, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS agrees FROM documents""")
 def unit_agreement(spark, d):
     v, r = F.col("doc_id").cast("double"), F.col("doc_id") % 3
     span = F.concat(F.lit("the titre was "), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(""), F.lit(" ug/mL"), F.lit(" mg/mL")), (r + 1).cast("int")))
-    return table(spark, d, "documents").select("doc_id", T.fix_units(F.lit("ug/ml")).alias("fixed"), T.unit_agrees(v, F.lit("µg/mL"), span).alias("agrees"))
+    return table(spark, d, "documents").select("doc_id", T.fix_units(F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (" ug/ml of ", " � g / mL of ", " μg/mL of "))), (r + 1).cast("int")), F.col("lang"))).alias("fixed"), T.unit_agrees(v, F.lit("µg/mL"), span).alias("agrees"))
 
 
 @query()
@@ -303,7 +314,7 @@ def salvage_truncated_json(spark, d):
     """Answers that are cut off: the complete records before the cut are saved."""
     from gleanspark.functions.answers import records_column
 
-    whole = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("n"), F.substring("text", 1, 40).alias("source_span"))).alias("records")))
+    whole = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("n"), F.col("text").alias("source_span"))).alias("records")))
     docs = table(spark, d, "documents").select("doc_id", whole.alias("w")).select("doc_id", F.expr("substring(w, 1, length(w) - 10 - doc_id % 60)").alias("answer"))
     return docs.select("doc_id", records_column(F.col("answer")).alias("p")).select("doc_id", F.size("p.records").alias("records"), "p.error")
 
