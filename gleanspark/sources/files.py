@@ -95,5 +95,6 @@ def load_records(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header, all columns as text and empty cells as empty text; a byte-order mark is no part of the first name."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\0", emptyValue="", encoding="UTF-8")
-    return df.toDF(*[c.lstrip("\ufeff").strip('"') if i == 0 else c for i, c in enumerate(df.columns)])
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    names = [c.lstrip("\ufeff").strip('"') if i == 0 else c for i, c in enumerate(df.columns)]
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(df.columns, names)])
