@@ -233,6 +233,7 @@ def test_gif_against_brute_force(spark):
     # a table of codes that fills and is cleared in mid-stream, many frames of long delays, wrong code sizes, a canvas without data
     noise = rng.integers(0, 256, 40000).astype(np.uint8)
     assert gif.lzw_decode(gif.lzw_encode(noise.tobytes(), 8), 8, 40000) == noise.tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(noise.tobytes(), 8)[:30000] + b"\xff" * 9000, 8, 20000) == noise.tobytes()[:20000]
     dot = {"pixels": np.zeros((1, 1), int), "delay": 65535}
     many = gif.encode(1, 1, np.array([[1, 2, 3], [4, 5, 6]]), [dot] * 3300)
     wrong = bytearray(gif.encode(1, 1, np.array([[1, 2, 3], [4, 5, 6]]), [dot]))
