@@ -143,6 +143,58 @@ def test_pairs_of_lists_in_small_steps():
         assert got == want
 
 
+def copies_of_sets(rng, n, many, most):
+    base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for _ in range(many):
+        k = base.copy()
+        at = rng.choice(len(k), int(rng.uniform(0, most) * len(k)), replace=False)
+        k[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+        yield np.unique(k[int(rng.uniform(0, most / 2) * len(k)) :])
+
+
+def postings_of_sets(sets):
+    prefixes = [k[: jaccard_join.prefix_length(len(k), 0.7)] for k in sets]
+    many = [len(p) for p in prefixes]
+    grp = np.array([jaccard_join.group_of(p, len(k)) for p, k in zip(prefixes, sets)], np.uint64).view(np.int64)
+    gram = (_shared.mix(np.concatenate(prefixes)) >> np.uint64(32)).astype(np.uint32)
+    place = np.concatenate([np.arange(m) * 256 // m for m in many]).astype(np.uint8)
+    return prefixes, grp, gram, np.repeat(grp, many), place
+
+
+def test_places_that_count_lose_no_similar_pair():
+    rng = np.random.default_rng(12)
+    sets = [k for n in (2, 3, 5, 9, 17, 31, 32, 33, 64, 100, 250, 900) for _ in range(3) for k in copies_of_sets(rng, n, 7, 0.25)]
+    # unlike sets that share grams at the end of their prefixes only
+    late = np.sort(rng.integers(2**61, 2**61 + 2**50, 400).astype(np.uint64))
+    for _ in range(20):
+        own = np.concatenate([rng.integers(0, 2**61, 25).astype(np.uint64), rng.choice(late, 10), rng.integers(2**62, 2**63, 80).astype(np.uint64)])
+        sets.append(np.unique(own))
+    _, grp, gram, owner, place = postings_of_sets(sets)
+    met = {}
+    for a, b, n in jaccard_join._pairs_of_lists(gram, owner, 0.7, place=place):
+        for k in zip(a.tolist(), b.tolist(), n.tolist()):
+            met[frozenset(k[:2])] = met.get(frozenset(k[:2]), 0) + k[2]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.7 * (len(a) + len(sets[j]) - both) and grp[i] >> 32 != grp[j] >> 32:
+                room = 0.7 / 1.7 * (len(a) + len(sets[j])) - 0.7 * max(len(a), len(sets[j]))
+                assert met.get(frozenset((int(grp[i]), int(grp[j]))), 0) >= max(1, min(room - 1.02 * 0.01 * len(a), min(len(a), len(sets[j])) / jaccard_join.PER_GRAM / 1.01 - 1e-2))
+    assert not any(frozenset((int(x), int(y))) in met for x in grp[-20:] for y in grp[-20:])
+
+
+def test_a_large_cluster_is_one_joint_label(spark):
+    rng = np.random.default_rng(13)
+    sets = list(copies_of_sets(rng, 300, 400, 0.08))
+    prefixes, grp, gram, owner, place = postings_of_sets(sets)
+    members = spark.createDataFrame([(int(g), jaccard_join.bands_of(p)) for g, p in zip(grp, prefixes)], "grp long, bands array<long>")
+    joined = jaccard_join.joined_labels(members)
+    pairs = lambda **x: sum(len(a) for a, _, _ in jaccard_join._pairs_of_lists(gram, owner, 0.7, place=place, **x))
+    assert len(set((grp >> 32).tolist())) > 3 and pairs() > 20 * pairs(joined=joined)
+    none = jaccard_join.joined_labels(members.limit(0))
+    assert len(none[0]) == 0 and (jaccard_join.joint_of(grp, none) == grp).all()
+
+
 @pytest.mark.parametrize("kind", ["double", "float"])
 def test_metric_join_against_brute_force(spark, kind):
     rng = np.random.default_rng(3)
