@@ -195,6 +195,59 @@ def test_a_large_cluster_is_one_joint_label(spark):
     assert len(none[0]) == 0 and (jaccard_join.joint_of(grp, none) == grp).all()
 
 
+def test_copies_far_from_a_cluster_join_its_label(spark):
+    rng = np.random.default_rng(14)
+    sets = list(copies_of_sets(rng, 300, 400, 0.3))
+    prefixes, grp, gram, owner, place = postings_of_sets(sets)
+    joined = jaccard_join.joined_labels(spark.createDataFrame([(int(g), jaccard_join.bands_of(p)) for g, p in zip(grp, prefixes)], "grp long, bands array<long>"))
+    pairs = lambda **x: sum(len(a) for a, _, _ in jaccard_join._pairs_of_lists(gram, owner, 0.7, place=place, **x))
+    assert pairs() > 20 * pairs(joined=joined)
+
+
+def test_unlike_sets_with_a_late_gram_in_common_are_no_pair():
+    rng = np.random.default_rng(15)
+    # place 60 of 300 grams is beyond those that count
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**61, 60).astype(np.uint64), [np.uint64(2**61 + i // 40)], rng.integers(2**62, 2**63, 239).astype(np.uint64)])) for i in range(80)]
+    _, _, gram, owner, place = postings_of_sets(sets)
+    assert not sum(len(a) for a, _, _ in jaccard_join._pairs_of_lists(gram, owner, 0.7, place=place))
+
+
+def test_keys_are_all_held_and_few_others(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as h")
+    may = _shared.may_be_in(keys)
+    assert keys.where(may(keys["h"])).count() == 5000
+    others = spark.range(5000, 105000).selectExpr("xxhash64(id) as h")
+    assert others.where(may(others["h"])).count() < 5000
+    none = _shared.may_be_in(keys.limit(0))
+    assert keys.where(none(keys["h"])).count() == 0
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    of = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(of(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), of())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_texts_without_a_similar_one_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    texts = [" ".join(x.tobytes().hex() for x in rng.integers(0, 2**63, (60, 12))) for _ in range(300)]
+    texts[1] = texts[0] + " more"
+    path = f"{_shared.shared_dir(spark)}/texts-16"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.mode("overwrite").parquet(path)
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 0)
+    before = shuffled_bytes(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard_join.one_of_each(spark.read.parquet(path)).select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(r.doc_id for r in got) == [0, *range(2, 300)]
+    written = sum(v for k, v in shuffled_bytes(spark).items() if k not in before)
+    assert written < sum(map(len, texts)) / 4
+
+
 @pytest.mark.parametrize("kind", ["double", "float"])
 def test_metric_join_against_brute_force(spark, kind):
     rng = np.random.default_rng(3)
