@@ -115,5 +115,5 @@ def test_pages_as_their_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name in ("strip_html_pages",):
+    for name in ("strip_html_pages", "read_html_pages"):
         assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(db.execute(entry.oracle_sql()[name]).fetchall()), name
