@@ -117,3 +117,32 @@ def test_pages_as_their_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     for name in ("strip_html_pages", "read_html_pages"):
         assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(db.execute(entry.oracle_sql()[name]).fetchall()), name
+
+
+def test_no_place_of_a_span_is_left_out(spark):
+    from gleanspark.plans.queries import _fuzzy_pairs
+
+    span = "mitochondrial assays revealed stable outcomes over several winters"
+    damaged = span.replace("stable", "stabel").replace("winters", "wintres")
+    far = "mitochondrial xx yy zz " * 60 + damaged
+    unlike = "ab cd ef gh " * 300 + damaged.replace("mitochondrial", "mitochondriol")
+    assert extraction.fuzzy(span, far) and extraction.fuzzy(span, unlike)
+    d = spark.createDataFrame([(1, far), (2, unlike), (3, "ab cd ef gh " * 300)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, span)], "item_id long, text string")
+    assert sorted(r.doc_id for r in _fuzzy_pairs(d, b).where("grounded").collect()) == [1, 2]
+
+
+def test_best_window_is_the_first_of_the_best():
+    import difflib
+    import random
+
+    r = random.Random(2)
+    for _ in range(60):
+        words = [r.choice(("aba", "abb", "b", "cab", "bac", "longest", "a")) for _ in range(r.randint(1, 120))]
+        own = [r.choice(words) if r.random() < 0.8 else "longestt" for _ in range(r.randint(1, 6))]
+        span, best, found = " ".join(own), 0, []
+        for part in extraction.windows(own, words):
+            size = sum(x.size for x in difflib.SequenceMatcher(None, span, " ".join(part), autojunk=False).get_matching_blocks())
+            if size > best:
+                best, found = size, part
+        assert extraction.best_window(span, words) == (best / len(span), found)
