@@ -161,3 +161,18 @@ def test_word_index_in_bounded_steps():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(index) == 2000 and len(index.values) == 600_000 and peak < 60e6
+
+
+def test_token_neighbours_write_no_pairs(spark):
+    """Unlike texts that all share their rarer words are compared without a shuffle of pairs, over several blocks of a source."""
+    import random
+
+    from gleanspark.plans.queries import _token_neighbours
+
+    r = random.Random(4)
+    docs = [(i, "st"[i % 3 == 0], " ".join(r.sample([f"w{k}" for k in range(60)], r.randint(15, 40)))) for i in range(90)] + [(90, "s", "a b c"), (90, "s", "a b c"), (91, "s", "c b a d")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3)
+    sets = [(i, s, set(t.split())) for i, s, t in docs]
+    want = sorted((i, j, round(len(x & y) / len(x | y), 6)) for i, s, x in sets for j, u, y in sets if i < j and s == u and 2 * len(x & y) >= len(x | y))
+    assert sorted(map(tuple, _token_neighbours(df).collect())) == want and len(want) > 9
+    assert _token_neighbours(df)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
